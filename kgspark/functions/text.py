@@ -11,10 +11,17 @@ from kgspark import fixed
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def _literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def literal_map(values: dict) -> Column:
     """A constant lookup map."""
-    parts = [F.lit(x) for pair in values.items() for x in pair]
-    return F.create_map(*parts)
+    return F.expr("map(" + ", ".join(_literal(x) for pair in values.items() for x in pair) + ")")
 
 
 def strip(c: Column) -> Column:

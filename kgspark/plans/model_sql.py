@@ -112,3 +112,40 @@ EVENTS = (
 
 def with_(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(parts) + " "
+
+
+MENTIONS = """mentions AS (SELECT 'part-' || p_partkey AS mention_id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name)
+WHEN 1 THEN replace(p_name,' ','_') WHEN 2 THEN '[[Concepts/' || split_part(p_name,' ',-1) || ' ' || split_part(p_name,' ',1) || '|x]]'
+WHEN 3 THEN left(p_name, CAST(p_partkey % length(p_name) AS INTEGER)) || substr(p_name, p_partkey % length(p_name) + 2)
+ELSE p_name END AS name, CASE WHEN p_partkey % 5 <> 4 THEN 'Concept' END AS entity_type FROM part
+UNION ALL SELECT 'nation-' || n_nationkey, replace(n_name,'_','-'), 'Location' FROM nation
+UNION ALL SELECT 'customer-' || c_custkey, c_name, 'Person' FROM customer
+UNION ALL SELECT 'supplier-' || s_suppkey, 'Guild ' || s_suppkey || ' of makers', 'Organization' FROM supplier)"""
+
+
+def alias(x: str) -> str:
+    return f"trim(lower(split_part(regexp_replace({x}, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', '\\1', 'g'), '/', -1)))"
+
+
+def jaro_winkler(pairs: str) -> str:
+    """CTEs that score the relation ``pairs(a, b)`` into ``jw(a, b, score)``; needs RECURSIVE."""
+    return f"""
+jw_step AS (
+ SELECT a, b, 0 AS i, repeat('0', length(b)) AS used, '' AS m1 FROM (SELECT DISTINCT a, b FROM {pairs} WHERE a <> b AND a <> '' AND b <> '')
+ UNION ALL
+ SELECT a, b, i + 1, CASE WHEN j IS NULL THEN used ELSE left(used, j - 1) || '1' || substr(used, j + 1) END,
+  CASE WHEN j IS NULL THEN m1 ELSE m1 || substr(a, i + 1, 1) END
+ FROM (SELECT *, CAST(list_min([x for x in range(greatest(1, i + 1 - w), least(length(b), i + 1 + w) + 1)
+   if substr(used, x, 1) = '0' AND substr(b, x, 1) = substr(a, i + 1, 1)]) AS INTEGER) AS j
+  FROM (SELECT *, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS w FROM jw_step WHERE i < length(a)))),
+jw_match AS (
+ SELECT a, b, m1, length(m1) AS m, array_to_string([substr(b, x, 1) for x in range(1, length(b) + 1) if substr(used, x, 1) = '1'], '') AS m2
+ FROM jw_step WHERE i = length(a)),
+jw_jaro AS (
+ SELECT a, b, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) +
+  (m - len([k for k in range(1, m + 1) if substr(m1, k, 1) <> substr(m2, k, 1)]) / 2) / m) / 3 END AS jaro, m FROM jw_match),
+jw AS (
+ SELECT a, b, CASE WHEN m = 0 THEN 0 ELSE jaro + 0.1 * (1 - jaro) * CASE WHEN left(a,1) <> left(b,1) THEN 0
+  WHEN left(a,2) <> left(b,2) OR least(length(a),length(b)) < 2 THEN 1 WHEN left(a,3) <> left(b,3) OR least(length(a),length(b)) < 3 THEN 2
+  WHEN left(a,4) <> left(b,4) OR least(length(a),length(b)) < 4 THEN 3 ELSE 4 END END AS score FROM jw_jaro
+ UNION ALL SELECT DISTINCT a, b, 1.0 FROM {pairs} WHERE a = b)"""

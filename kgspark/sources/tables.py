@@ -253,3 +253,29 @@ def network_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         queued.alias("queued_at"),
         (queued + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
     )
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text mentions of known and unknown entities, spelled in several ways."""
+    t = lambda n: table(spark, sf_dir, n)
+    key, name = F.col("p_partkey"), F.col("p_name")
+    swapped = F.concat_ws(" ", F.substring_index(name, " ", -1), F.substring_index(name, " ", 1))
+    cut = (F.pmod(key, F.length(name)) + 1).cast("int")
+    dropped = F.concat(F.substring(name, 1, cut - 1), F.expr("substring(p_name, cast(pmod(p_partkey, length(p_name)) + 2 as int))"))
+    form = F.pmod(key, F.lit(5))
+    spelled = (
+        F.when(form == 0, F.upper(name))
+        .when(form == 1, F.replace(name, F.lit(" "), F.lit("_")))
+        .when(form == 2, F.concat(F.lit("[[Concepts/"), swapped, F.lit("|x]]")))
+        .when(form == 3, dropped)
+        .otherwise(name)
+    )
+    def rows(df, prefix, key, name, kind):
+        return df.select(F.concat(F.lit(prefix), key.cast("string")).alias("mention_id"), name.alias("name"), kind.alias("entity_type"))
+
+    return (
+        rows(t("part"), "part-", key, spelled, F.when(form != 4, F.lit("Concept")))
+        .unionByName(rows(t("nation"), "nation-", F.col("n_nationkey"), F.replace(F.col("n_name"), F.lit("_"), F.lit("-")), F.lit("Location")))
+        .unionByName(rows(t("customer"), "customer-", F.col("c_custkey"), person_name(), F.lit("Person")))
+        .unionByName(rows(t("supplier"), "supplier-", F.col("s_suppkey"), F.concat(F.lit("Guild "), F.col("s_suppkey").cast("string"), F.lit(" of makers")), F.lit("Organization")))
+    )
