@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from kgspark.plans import graph, resolution  # noqa: F401
+from kgspark.plans import documents, graph, resolution  # noqa: F401
 from kgspark.plans.base import ORACLES, QUERIES  # noqa: F401
