@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from kgspark.plans import documents, events, graph, resolution, web  # noqa: F401
+from kgspark.plans import documents, events, graph, notes, resolution, store, web  # noqa: F401
 from kgspark.plans.base import ORACLES, QUERIES  # noqa: F401
