@@ -190,9 +190,10 @@ def batch_resolve(targets: DataFrame, registry: DataFrame, links: DataFrame) ->
     By name alone the entity with most mentions wins. Both lookups are one
     aggregation per distinct name, so a repeated name is resolved once.
     """
-    mentions = links.groupBy("entity_uri").agg(F.sum("mention_count").alias("total"))
     keys = targets.select(F.lower("name").alias("normalized_text"), "type_hint").distinct()
     near = registry.join(keys.select("normalized_text").distinct(), "normalized_text", "left_semi")
+    of_near = links.join(near.select(F.col("uri").alias("entity_uri")).distinct(), "entity_uri", "left_semi")
+    mentions = of_near.groupBy("entity_uri").agg(F.sum("mention_count").alias("total"))
     ranked = near.join(mentions, F.col("uri") == F.col("entity_uri"), "left")
     typed = near.groupBy("normalized_text", F.col("entity_type").alias("type_hint")).agg(F.min("uri").alias("typed_uri"))
     by_name = ranked.groupBy("normalized_text").agg(
