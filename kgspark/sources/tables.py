@@ -228,7 +228,11 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event queue: sign-ups are NEW, errors are FORGET, the rest UPDATE."""
+    return as_queue(table(spark, sf_dir, "events"))
+
+
+def as_queue(events: DataFrame) -> DataFrame:
+    """Raw events (batch or stream) as the queue: sign-ups are NEW, errors FORGET, the rest UPDATE."""
     kind = (
         F.when(F.col("event_type") == "signup", "NEW")
         .when(F.col("event_type") == "error", "FORGET")
@@ -243,7 +247,7 @@ def network_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rid_kind = F.when(F.pmod(F.col("user_id"), F.lit(3)) == 0, "organization").otherwise("person")
     rid = F.concat(F.lit("orn:koi-net."), rid_kind, F.lit(":user-"), F.col("user_id").cast("string"))
     node = F.concat(F.lit("orn:koi-net.node:peer"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("event_id").cast("string").alias("event_id"),
         kind.alias("event_type"),
