@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kgspark import fixed
 
-# Unicode white space as Python's str.strip / str.split see it.
-SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Unicode white space as Python's str.strip / str.split see it: a pattern, and the characters.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _literal(value) -> str:
@@ -25,12 +26,13 @@ def literal_map(values: dict) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def words(c: Column) -> Column:
-    """Whitespace-separated tokens, empty strings removed."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
+    """Whitespace-separated tokens; none for a blank text."""
+    bare = strip(c)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+"))
 
 
 def word_count(c: Column) -> Column:

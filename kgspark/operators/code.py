@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgspark import fixed
 from kgspark.functions import text as X
 from kgspark.functions.pycode import python_symbols
+from kgspark.session import spread
 
 _COLUMNS = ["repo", "path", "language", "entity_type", "name", "tag", "line_start", "line_end", "signature", "docstring",
             "params", "returns", "calls"]
@@ -118,7 +119,7 @@ def script_symbols(files: DataFrame) -> DataFrame:
 
 
 def python_file_symbols(files: DataFrame) -> DataFrame:
-    return files.filter("language = 'python'").select(
+    return spread(files.filter("language = 'python'")).select(
         "repo", "path", "language", F.inline(python_symbols("content"))
     ).select(_COLUMNS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark import fixed
 from kgspark.functions import similarity as S
 from kgspark.functions import text as X
+from kgspark.session import spread
 
 
 def _pieces(df: DataFrame, keys: list[str], tokens: Column, bounds: Column, stripped: Column) -> DataFrame:
@@ -36,7 +37,8 @@ def fixed_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE, o
     than ``minimum`` are dropped unless they are the first.
     """
     step = size - overlap
-    toks = df.withColumn("toks", X.words(F.col("text"))).filter(F.size("toks") > 0)
+    # The blank test reads the text, so the tokens are not computed a second time for the filter.
+    toks = spread(df).filter(X.strip(F.col("text")) != "").withColumn("toks", X.words(F.col("text")))
     n = F.size("toks")
     last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
     bounds = F.filter(
@@ -58,10 +60,11 @@ def sentence_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE
     ``aggregate`` over at most as many steps as it can have windows; all of it
     stays in the JVM. A short remainder is dropped unless ``keep_tail``.
     """
-    toks = df.withColumn("toks", X.words(F.col("text"))).filter(F.size("toks") > 0)
+    # The blank test reads the text, so the tokens are not computed a second time for the filter.
+    toks = spread(df).filter(X.strip(F.col("text")) != "").withColumn("toks", X.words(F.col("text")))
     n = F.size("toks")
     # Positions just after sentence-final tokens, the only places a cut may move to.
-    stops = F.filter(F.transform("toks", lambda t, i: F.when(t.rlike(r"[.!?]$"), i + 1)), lambda p: p.isNotNull())
+    stops = F.filter(F.transform("toks", lambda t, i: F.when(t.endswith(".") | t.endswith("!") | t.endswith("?"), i + 1)), lambda p: p.isNotNull())
     ready = toks.withColumn("stops", stops).withColumn("stripped", X.strip(F.col("text")))
     smallest = size - size // 5 - overlap
     # A full window moves the start on by at least `smallest` tokens, and once a window

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark import fixed
 from kgspark.functions import text as X
 from kgspark.functions.html import parse_page
+from kgspark.session import spread
 
 
 def extract(pages: DataFrame, keep: list[str], max_chars: Optional[int] = None) -> DataFrame:
@@ -17,7 +18,7 @@ def extract(pages: DataFrame, keep: list[str], max_chars: Optional[int] = None)
 
     The whole text is kept; ``max_chars`` cuts it and says so in the text.
     """
-    page = pages.select(*keep, parse_page("html").alias("p")).select(*keep, "p.*")
+    page = spread(pages).select(*keep, parse_page("html").alias("p")).select(*keep, "p.*")
     if max_chars:
         note = F.concat(F.substring("content", 1, max_chars), F.lit("\n\n[content truncated]"))
         page = page.withColumn("content", F.when(F.length("content") > max_chars, note).otherwise(F.col("content")))
@@ -37,14 +38,15 @@ def _lead_keys(tokens: Column, sizes: list[int]) -> Column:
     """Distinct runs of consecutive tokens of each given size."""
     n = F.size(tokens)
     runs = [
-        F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), _run(tokens, size))).otherwise(F.array().cast("array<string>"))
+        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), _run(tokens, size))).otherwise(F.array().cast("array<string>"))
         for size in sizes
     ]
     return F.array_distinct(F.flatten(F.array(*runs)))
 
 
 def _run(tokens: Column, size: int):
-    return lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " ")
+    # Element access is constant time; a slice per position would copy the whole array each time.
+    return lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(size)])
 
 
 def scan_entities(docs: DataFrame, names: DataFrame, lead: int = 4) -> DataFrame:
@@ -63,7 +65,7 @@ def scan_entities(docs: DataFrame, names: DataFrame, lead: int = 4) -> DataFrame
     if not sizes:
         sizes = [1]
     # Tokens are a column of their own, so the text is split once and not once per run.
-    split = docs.select("doc_id", _tokens(F.col("text")).alias("toks"))
+    split = spread(docs).select("doc_id", _tokens(F.col("text")).alias("toks"))
     runs = split.select("doc_id", F.explode(_lead_keys(F.col("toks"), sizes)).alias("key"))
     pairs = runs.join(keyed, "key").select("doc_id", "name", "uri", "entity_type")
     quoted = F.concat(F.lit(r"(?iU)\b\Q"), F.lower("name"), F.lit(r"\E\b"))

@@ -51,3 +51,13 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for work that is heavy per row, when the input has few splits.
+
+    A large input has more splits than the cluster has cores and passes
+    unchanged; only a small or unsplittable one is shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
