@@ -49,6 +49,7 @@ NETWORK_RID_PREFIX = "orn:koi-net."
 WEB_RID_PREFIX = "orn:web.page:"
 NOTE_RID_PREFIXES = ["orn:obsidian.entity:Notes/", "vault:notes/", "vault:"]
 NODE_RID_PREFIX = "orn:koi-net.node:"
+RID_TYPE_PATTERNS = [r"koi-net\.([^:]+):", r"entity:([^/]+)/"]
 
 # Stop words and title words skipped when the first significant token is taken.
 GLOBAL_STOPWORDS = ["the", "a", "an"]

@@ -130,10 +130,7 @@ def monitor_rid(url: Column) -> Column:
 
 def rid_type(rid: Column) -> Column:
     """Capitalised type inside an identifier, null when the format is unknown."""
-    raw = F.coalesce(
-        F.nullif(F.regexp_extract(rid, r"koi-net\.([^:]+):", 1), F.lit("")),
-        F.nullif(F.regexp_extract(rid, r"entity:([^/]+)/", 1), F.lit("")),
-    )
+    raw = F.coalesce(*[F.nullif(F.regexp_extract(rid, p, 1), F.lit("")) for p in fixed.RID_TYPE_PATTERNS])
     return F.concat(F.upper(F.substring(raw, 1, 1)), F.lower(F.substring(raw, 2, 1_000_000)))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Optional
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark import fixed
-from kgspark.functions import similarity as S
 from kgspark.functions import text as X
+from kgspark.operators import similarity_join as J
 
 RESULT = (
     "entities array<struct<name:string,type:string,description:string,fields:map<string,string>,confidence:double>>, "
@@ -87,14 +85,17 @@ def ingest(mentions: DataFrame, registry: DataFrame, links: DataFrame) -> tuple[
 def match_descriptions(wanted: DataFrame, found: DataFrame, source: str, least: float = 80.0) -> DataFrame:
     """Description of each wanted entity from its source's extraction: exact name, else the closest.
 
-    Only names of one source are compared. Lengths bound the ratio, so pairs
-    that cannot reach ``least`` are dropped before it is computed.
+    Only names of one source are compared, and of those only pairs that share
+    enough characters; a source with very many entities yields no cross product.
     """
-    w = wanted.select("uri", source, F.lower(X.strip(F.col("entity_text"))).alias("a"))
-    f = found.groupBy(source, F.lower(X.strip(F.col("name"))).alias("b")).agg(F.max("description").alias("description"))
-    exact = w.join(f.withColumnRenamed("b", "a"), [source, "a"]).select("uri", F.lit(100.0).alias("ratio"), F.col("a").alias("name"), "description")
+    w = wanted.select("uri", F.col(source).alias("grp"), F.lower(X.strip(F.col("entity_text"))).alias("txt"))
+    f = found.groupBy(F.col(source).alias("grp"), F.lower(X.strip(F.col("name"))).alias("txt")).agg(F.max("description").alias("description"))
+    exact = w.join(f, ["grp", "txt"]).select("uri", F.lit(100.0).alias("ratio"), F.col("txt").alias("name"), "description")
     rest = w.join(exact.select("uri"), "uri", "left_anti")
-    la, lb = F.length("a"), F.length("b")
-    close = rest.join(f, source).filter(2 * F.least(la, lb) * 100 >= least * (la + lb)).withColumn("ratio", S.indel_ratio(F.col("a"), F.col("b")))
-    best = close.filter(F.col("ratio") >= least).groupBy("uri").agg(F.min_by(F.struct("ratio", F.col("b").alias("name"), "description"), F.struct(-F.col("ratio"), F.col("b"))).alias("m"))
+    close = (
+        J.indel_pairs(rest, f, least).join(rest.withColumnRenamed("txt", "left_txt"), ["grp", "left_txt"])
+        .join(f.withColumnRenamed("txt", "right_txt"), ["grp", "right_txt"])
+    )
+    best = close.groupBy("uri").agg(
+        F.min_by(F.struct("ratio", F.col("right_txt").alias("name"), "description"), F.struct(-F.col("ratio"), F.col("right_txt"))).alias("m"))
     return exact.unionByName(best.select("uri", "m.ratio", "m.name", "m.description")).filter("description <> ''")

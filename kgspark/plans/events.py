@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.functions import text as X
+from kgspark import fixed
 from kgspark.operators import events as E
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
 from kgspark.sources import tables as T
 
-_NODE = "orn:koi-net.node:peer9"
+_NODE = fixed.NODE_RID_PREFIX + "peer9"
 # The last day of the table: most earlier events have expired by then.
 _NOW = "2024-01-30 12:00:00"
 
@@ -49,14 +49,14 @@ def event_ttl(spark, sf):
 
 @query("event_poll", M.with_(M.EVENTS, _DELIVERED, _PENDING) + """
 SELECT id, event_id, event_type, rid, source_node FROM (SELECT * FROM pending ORDER BY queued_at, id LIMIT 50)
-WHERE rid LIKE 'orn:koi-net.person:%'""")
+WHERE rid LIKE '@NET@person:%'""")
 def event_poll(spark, sf):
     batch = E.peek(T.network_events(spark, sf), _deliveries(spark, sf), _NODE, _now(), 50, ["Person"])
     return batch.select("id", "event_id", "event_type", "rid", "source_node")
 
 
 @query("event_poll_fixed", M.with_(M.EVENTS, _DELIVERED, _PENDING) + """
-SELECT id, event_id, event_type, rid, source_node FROM pending WHERE rid LIKE 'orn:koi-net.person:%' ORDER BY queued_at, id LIMIT 50""")
+SELECT id, event_id, event_type, rid, source_node FROM pending WHERE rid LIKE '@NET@person:%' ORDER BY queued_at, id LIMIT 50""")
 def event_poll_fixed(spark, sf):
     batch = E.peek(T.network_events(spark, sf), _deliveries(spark, sf), _NODE, _now(), 50, ["Person"], filter_first=True)
     return batch.select("id", "event_id", "event_type", "rid", "source_node")
@@ -93,11 +93,11 @@ def latest_bundle(spark, sf):
 
 
 @query("manifest_fetch", M.with_(M.EVENTS, """
-wanted AS (SELECT 'orn:koi-net.person:user-' || c_custkey AS rid FROM customer),
+wanted AS (SELECT '@NET@person:user-' || c_custkey AS rid FROM customer),
 last AS (SELECT rid, id FROM queue QUALIFY row_number() OVER (PARTITION BY rid ORDER BY queued_at DESC, id DESC) = 1)""") + """
 SELECT w.rid, CASE WHEN l.rid IS NULL THEN 'not_found' ELSE 'found' END AS status, coalesce(l.id, -1) AS id FROM wanted w LEFT JOIN last l USING (rid)""")
 def manifest_fetch(spark, sf):
-    wanted = T.table(spark, sf, "customer").select(F.concat(F.lit("orn:koi-net.person:user-"), F.col("c_custkey").cast("string")).alias("rid"))
+    wanted = T.table(spark, sf, "customer").select(F.concat(F.lit(fixed.NETWORK_RID_PREFIX + "person:user-"), F.col("c_custkey").cast("string")).alias("rid"))
     found, missing = E.fetch(wanted, T.network_events(spark, sf))
     return found.select("rid", F.lit("found").alias("status"), "id").unionByName(
         missing.select("rid", F.lit("not_found").alias("status"), F.lit(-1).cast("bigint").alias("id")))
@@ -105,10 +105,10 @@ def manifest_fetch(spark, sf):
 
 @query("handler_chain", M.with_(M.EVENTS) + """
 SELECT entity_type, event_type, count(*) AS events, count(DISTINCT name) AS names FROM
-(SELECT 'Person' AS entity_type, event_type, name FROM queue WHERE NOT (rid = 'orn:koi-net.person:user-5' AND source_node <> 'orn:koi-net.person:user-5'))
+(SELECT 'Person' AS entity_type, event_type, name FROM queue WHERE NOT (rid = '@NET@person:user-5' AND source_node <> '@NET@person:user-5'))
 GROUP BY ALL""")
 def handler_chain(spark, sf):
-    out = E.run_chain(T.network_events(spark, sf), E.default_chain("orn:koi-net.person:user-5"))
+    out = E.run_chain(T.network_events(spark, sf), E.default_chain(fixed.NETWORK_RID_PREFIX + "person:user-5"))
     return out.groupBy("entity_type", "event_type").agg(F.count("*").alias("events"), F.countDistinct("entity_name").alias("names"))
 
 
@@ -157,12 +157,12 @@ def event_hour_rate(spark, sf):
 
 
 @query("poll_authorised", M.with_(M.EVENTS, """
-pairs AS (SELECT DISTINCT source_node AS target_node, 'orn:koi-net.node:self' AS source_node FROM queue),
+pairs AS (SELECT DISTINCT source_node AS target_node, '@NODE@self' AS source_node FROM queue),
 edges AS (SELECT target_node, source_node, CASE WHEN target_node LIKE '%peer1' THEN ['Person'] ELSE CAST([] AS VARCHAR[]) END AS rid_types,
  CASE WHEN target_node LIKE '%peer0' THEN 'PROPOSED' ELSE 'APPROVED' END AS status FROM pairs)""") + """
 SELECT target_node, source_node, coalesce(array_to_string(rid_types, ','), '') AS rid_types FROM edges WHERE status = 'APPROVED'""")
 def poll_authorised(spark, sf):
-    pairs = T.network_events(spark, sf).select(F.col("source_node").alias("target_node")).distinct().withColumn("source_node", F.lit("orn:koi-net.node:self"))
+    pairs = T.network_events(spark, sf).select(F.col("source_node").alias("target_node")).distinct().withColumn("source_node", F.lit(fixed.NODE_RID_PREFIX + "self"))
     edges = pairs.select(
         "*", F.when(F.col("target_node").endswith("peer1"), F.array(F.lit("Person"))).otherwise(F.array().cast("array<string>")).alias("rid_types"),
         F.when(F.col("target_node").endswith("peer0"), "PROPOSED").otherwise("APPROVED").alias("status"))

@@ -252,7 +252,7 @@ def describe_inputs(spark, sf):
 
 
 @query("rid_listing", M.with_(M.REGISTRY) + f"""
-SELECT DISTINCT 'orn:koi-net.' || lower(entity_type) || ':' ||
+SELECT DISTINCT '@NET@' || lower(entity_type) || ':' ||
 trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(normalized_text)),'[^\\p{{L}}\\p{{N}}_\\s-]','','g'),'[\\s_]+','-','g'),'-+','-','g'),'-')
 || '+' || left(sha256(uri),16) AS rid, entity_type FROM registry WHERE entity_type IN ('Person','Organization','Location')""")
 def rid_listing(spark, sf):

@@ -77,12 +77,12 @@ def enrich_match(spark, sf):
 
 
 @query("poll_plan", """
-SELECT 'orn:koi-net.node:peer' || n_nationkey AS source_node, n_name AS node_name, 'https://n' || n_nationkey || '.example.org' AS base_url,
+SELECT '@NODE@peer' || n_nationkey AS source_node, n_name AS node_name, 'https://n' || n_nationkey || '.example.org' AS base_url,
 CASE WHEN n_nationkey % 4 = 0 THEN 0.0 ELSE 30.0 * pow(2, n_nationkey % 4 - 1) END AS wait_seconds FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 6 <= 3""")
 def poll_plan(spark, sf):
     nation = T.table(spark, sf, "nation")
     key = F.col("n_nationkey")
-    rid = F.concat(F.lit("orn:koi-net.node:peer"), key.cast("string"))
+    rid = F.concat(F.lit(fixed.NODE_RID_PREFIX + "peer"), key.cast("string"))
     nodes = nation.select(rid.alias("node_rid"), F.col("n_name").alias("node_name"), F.concat(F.lit("https://n"), key.cast("string"), F.lit(".example.org")).alias("base_url"))
     edges = nation.select(rid.alias("source_node"), F.lit("self").alias("target_node"), F.when(key % 2 == 0, "POLL").otherwise("WEBHOOK").alias("edge_type"), F.lit("APPROVED").alias("status"))
     failures = nation.select(rid.alias("peer"), F.when(key % 6 > 3, 9).otherwise(key % 4).cast("int").alias("failures"))
@@ -90,7 +90,7 @@ def poll_plan(spark, sf):
 
 
 @query("bootstrap_keys", """
-SELECT 'orn:koi-net.node:n' || c_custkey || '+' || left(sha256(to_base64(encode('key ' || c_custkey))), 16) AS source_node, to_base64(encode('key ' || c_custkey)) AS public_key FROM customer WHERE c_custkey % 3 <> 0""")
+SELECT '@NODE@n' || c_custkey || '+' || left(sha256(to_base64(encode('key ' || c_custkey))), 16) AS source_node, to_base64(encode('key ' || c_custkey)) AS public_key FROM customer WHERE c_custkey % 3 <> 0""")
 def bootstrap_keys(spark, sf):
     cust = T.table(spark, sf, "customer")
     k = F.col("c_custkey").cast("string")

@@ -10,7 +10,7 @@ def norm(x: str) -> str:
 def uri(name: str, kind: str) -> str:
     n = norm(name)
     return (
-        f"('orn:personal-koi.entity:' || lower({kind}) || '-' || "
+        f"('@ENTITY@' || lower({kind}) || '-' || "
         f"left(replace(replace({n},' ','-'),'''',''),50) || '-' || left(sha256({kind} || ':' || {n}),12))"
     )
 
@@ -102,8 +102,8 @@ MEMORIES = (
 EVENTS = (
     "queue AS (SELECT event_id AS id, CAST(event_id AS VARCHAR) AS event_id, "
     "CASE event_type WHEN 'signup' THEN 'NEW' WHEN 'error' THEN 'FORGET' ELSE 'UPDATE' END AS event_type, "
-    "'orn:koi-net.' || CASE WHEN user_id % 3 = 0 THEN 'organization' ELSE 'person' END || ':user-' || user_id AS rid, "
-    "'orn:koi-net.node:peer' || (user_id % 4) AS source_node, "
+    "'@NET@' || CASE WHEN user_id % 3 = 0 THEN 'organization' ELSE 'person' END || ':user-' || user_id AS rid, "
+    "'@NODE@peer' || (user_id % 4) AS source_node, "
     "CAST(props->>'$.k' AS INTEGER) AS k, user_id, "
     "CASE WHEN CAST(props->>'$.k' AS INTEGER) < 60 THEN printf('Customer#%09d', user_id) ELSE 'Visitor ' || user_id END AS name, "
     "ts AS queued_at, ts + INTERVAL 24 HOUR AS expires_at FROM events)"

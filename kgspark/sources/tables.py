@@ -11,12 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark import fixed
 from kgspark.functions import text as X
 
-# "Now" of the batch queries over the events table (a literal, so runs repeat).
-NOW = "2024-01-31 00:00:00"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -245,15 +242,15 @@ def as_queue(events: DataFrame) -> DataFrame:
     )
     # Two of five entity kinds travel through the queue.
     rid_kind = F.when(F.pmod(F.col("user_id"), F.lit(3)) == 0, "organization").otherwise("person")
-    rid = F.concat(F.lit("orn:koi-net."), rid_kind, F.lit(":user-"), F.col("user_id").cast("string"))
-    node = F.concat(F.lit("orn:koi-net.node:peer"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
+    rid = F.concat(F.lit(fixed.NETWORK_RID_PREFIX), rid_kind, F.lit(":user-"), F.col("user_id").cast("string"))
+    node = F.concat(F.lit(fixed.NODE_RID_PREFIX + "peer"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
     return events.select(
         F.col("event_id").alias("id"),
         F.col("event_id").cast("string").alias("event_id"),
         kind.alias("event_type"),
         rid.alias("rid"),
         node.alias("source_node"),
-        F.to_json(F.struct(F.lit("bkc:Person").alias("@type"), name.alias("name"), k.alias("k"))).alias("contents"),
+        F.to_json(F.struct(F.lit(fixed.TYPE_PREFIX + "Person").alias("@type"), name.alias("name"), k.alias("k"))).alias("contents"),
         queued.alias("queued_at"),
         (queued + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
     )
