@@ -130,6 +130,7 @@ def split_valid(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = [p.name for p in fixed.PREDICATES]
     reason = (
         F.when(F.col("subject_uri").isNull() | F.col("object_uri").isNull(), "missing endpoint")
+        .when(F.col("predicate").isNull(), "missing predicate")
         .when(F.col("subject_uri") == F.col("object_uri"), "self loop")
         .when(~F.col("predicate").rlike(fixed.PREDICATE_NAME_PATTERN), "bad predicate name")
         .when(~F.col("predicate").isin(known), "unknown predicate")
