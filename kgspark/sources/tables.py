@@ -89,8 +89,8 @@ def nation_uri() -> Column:
 def relationships(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
     """Typed edges, one row per (subject, predicate, object).
 
-    Integer keys are made distinct before the uris are built, so hashes are
-    computed once per edge and the shuffle carries integers only.
+    Integer keys are made distinct before the uris are joined on, so the
+    shuffle carries integers only.
     """
     t = lambda n: table(spark, sf_dir, n)
 
@@ -101,11 +101,14 @@ def relationships(spark: SparkSession, sf_dir: str, predicates: list[str] | None
             F.concat(F.lit("notes/"), F.lit(predicate), F.lit(".md")).alias("source_rid"),
         )
 
+    person, org, project, nation = _uri_tables(t)
+    col = F.col
+
     def located_in():
-        people = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        orgs = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        return edge(people, person_uri(), "located_in", nation_uri(), F.lit(1.0)).unionByName(
-            edge(orgs, org_uri(), "located_in", nation_uri(), F.lit(1.0))
+        people = t("customer").select("c_nationkey", person_uri().alias("person")).join(nation, col("c_nationkey") == col("n_nationkey"))
+        orgs = t("supplier").select("s_nationkey", org_uri().alias("org")).join(nation, col("s_nationkey") == col("n_nationkey"))
+        return edge(people, col("person"), "located_in", col("nation"), F.lit(1.0)).unionByName(
+            edge(orgs, col("org"), "located_in", col("nation"), F.lit(1.0))
         )
 
     def broader():
@@ -114,10 +117,8 @@ def relationships(spark: SparkSession, sf_dir: str, predicates: list[str] | None
 
     def has_project():
         pairs = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-        df = pairs.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
-            t("part"), F.col("l_partkey") == F.col("p_partkey")
-        )
-        return edge(df, org_uri(), "has_project", project_uri(),
+        df = pairs.join(org, "l_suppkey").join(project, "l_partkey")
+        return edge(df, col("org"), "has_project", col("project"),
                     F.round(F.least(F.lit(1.0), F.lit(0.5) + F.col("n") * 0.125), 4))
 
     def affiliated_with():
@@ -125,10 +126,8 @@ def relationships(spark: SparkSession, sf_dir: str, predicates: list[str] | None
             t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
         )
-        df = pairs.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
-            t("customer"), F.col("o_custkey") == F.col("c_custkey")
-        )
-        return edge(df, person_uri(), "affiliated_with", org_uri(),
+        df = pairs.join(org, "l_suppkey").join(person, "o_custkey")
+        return edge(df, col("person"), "affiliated_with", col("org"),
                     F.round(F.least(F.lit(1.0), F.lit(0.5) + F.col("n") * 0.125), 4))
 
     build = {"located_in": located_in, "broader": broader, "has_project": has_project,
@@ -136,6 +135,20 @@ def relationships(spark: SparkSession, sf_dir: str, predicates: list[str] | None
     return reduce(DataFrame.unionByName, [build[k]() for k in (predicates or build)])
 
 
+def _uri_tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Key -> uri of persons, organisations, projects and nations.
+
+    The hash of a uri is computed once per entity here, before any join, and
+    not once per edge or mention.
+    """
+    return (
+        t("customer").select(F.col("c_custkey").alias("o_custkey"), person_uri().alias("person")),
+        t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), org_uri().alias("org")),
+        t("part").select(F.col("p_partkey").alias("l_partkey"), project_uri().alias("project")),
+        t("nation").select("n_nationkey", nation_uri().alias("nation")),
+    )
+
+
 def _order_note() -> Column:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return F.concat(F.lit("vault:notes/Orders/"), day, F.lit("-"), F.col("o_orderkey").cast("string"), F.lit(".md"))
@@ -160,39 +173,26 @@ def document_links(spark: SparkSession, sf_dir: str, types: list[str] | None = N
     def lines():
         return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
+    person, org, project, nation = _uri_tables(t)
+    col = F.col
+
     def people():
-        own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        deals = (
-            lines().groupBy("l_partkey", "o_custkey").agg(F.count("*").alias("n"))
-            .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        )
-        return link(own, _order_note(), person_uri(), F.lit(1)).unionByName(
-            link(deals, _part_note(), person_uri(), F.col("n"))
-        )
+        own = t("orders").join(person, "o_custkey")
+        deals = lines().groupBy("l_partkey", "o_custkey").agg(F.count("*").alias("n")).join(person, "o_custkey")
+        return link(own, _order_note(), col("person"), F.lit(1)).unionByName(link(deals, _part_note(), col("person"), col("n")))
 
     def orgs():
-        per_order = (
-            lines().groupBy("o_orderkey", "o_orderdate", "l_suppkey").agg(F.count("*").alias("n"))
-            .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        )
-        deals = (
-            t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-            .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        )
-        return link(per_order, _order_note(), org_uri(), F.col("n")).unionByName(
-            link(deals, _part_note(), org_uri(), F.col("n"))
-        )
+        per_order = lines().groupBy("o_orderkey", "o_orderdate", "l_suppkey").agg(F.count("*").alias("n")).join(org, "l_suppkey")
+        deals = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).join(org, "l_suppkey")
+        return link(per_order, _order_note(), col("org"), col("n")).unionByName(link(deals, _part_note(), col("org"), col("n")))
 
     def projects():
-        per_order = (
-            lines().groupBy("o_orderkey", "o_orderdate", "l_partkey").agg(F.count("*").alias("n"))
-            .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        )
-        return link(per_order, _order_note(), project_uri(), F.col("n"))
+        per_order = lines().groupBy("o_orderkey", "o_orderdate", "l_partkey").agg(F.count("*").alias("n")).join(project, "l_partkey")
+        return link(per_order, _order_note(), col("project"), col("n"))
 
     def locations():
-        df = t("pages").join(t("nation"), F.pmod(F.col("page_id"), F.lit(25)) == F.col("n_nationkey"))
-        return link(df, F.concat(F.lit("web:"), X.web_rid(F.col("url"))), nation_uri(), F.lit(1))
+        df = t("pages").join(nation, F.pmod(col("page_id"), F.lit(25)) == col("n_nationkey"))
+        return link(df, F.concat(F.lit("web:"), X.web_rid(col("url"))), col("nation"), F.lit(1))
 
     build = {"Person": people, "Organization": orgs, "Project": projects, "Location": locations}
     return reduce(DataFrame.unionByName, [build[k]() for k in (types or build)])
