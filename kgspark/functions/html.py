@@ -127,10 +127,14 @@ def _content(page: _Outline, title: str | None) -> str:
 
 
 @F.pandas_udf(PAGE_SCHEMA)
-def parse_page(html: pd.Series) -> pd.DataFrame:
+def _parse_page(html: pd.Series) -> pd.DataFrame:
     rows = []
     for text in html:
         page = _Outline().finish(text or "")
         meta = _metadata(page)
         rows.append({**dict.fromkeys(PAGE_SCHEMA.names), **meta, "content": _content(page, meta["title"])})
     return pd.DataFrame(rows, columns=PAGE_SCHEMA.names, dtype=object)
+
+
+# Non-deterministic, so that a filter on one field does not parse the page a second time.
+parse_page = _parse_page.asNondeterministic()

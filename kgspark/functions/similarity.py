@@ -18,7 +18,7 @@ def _codes(values: pd.Series, width: int) -> np.ndarray:
 
 
 @F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler with the prefix bonus always applied.
 
     One pass over character positions, each step handling a whole Arrow batch.
@@ -54,7 +54,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len a + len b), batched over rows."""
     a, b = a.fillna(""), b.fillna("")
     la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
@@ -71,6 +71,12 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.where(total == 0, 100.0, 200.0 * prev[:, wb] / np.maximum(total, 1)))
 
 
+# Declared non-deterministic so that a filter on a score is not pushed below the
+# step that removes duplicate pairs, which would score every pair twice.
+jaro_winkler = _jaro_winkler.asNondeterministic()
+indel_ratio = _indel_ratio.asNondeterministic()
+
+
 def trigrams(c: Column) -> Column:
     """Distinct three-character pieces of each padded lower-case word."""
     clean = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
