@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark import fixed
-from kgspark.functions import similarity as S
 from kgspark.functions import text as X
 from kgspark.operators import documents as D
 from kgspark.operators import graph as G

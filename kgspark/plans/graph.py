@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark import fixed
 from kgspark.functions import text as X
 from kgspark.operators import graph as G
 from kgspark.plans import model_sql as M

@@ -9,7 +9,6 @@ from kgspark.functions import text as X
 from kgspark.functions.phonetic import phonetic_code
 from kgspark.operators import extraction as P
 from kgspark.operators import federation as N
-from kgspark.operators import graph as G
 from kgspark.operators import resolve as R
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
