@@ -19,6 +19,7 @@ def local_session(app: str = "kgspark", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
