@@ -18,6 +18,7 @@ are written along.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
         q, i = step["q"], step["i"]
         p = q - 1
         xi, x0 = F.get(x, i), F.get(x, F.lit(0))
-        swap = (x0.bitwiseXOR(xi)).bitwiseAND(p)
+        swap = x0.bitwiseXOR(xi).bitwiseAND(p)
         high = xi.bitwiseAND(q) != 0
 
         def at(v: Column, k: Column) -> Column:
@@ -51,15 +52,28 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
 
         return F.transform(x, at)
 
-    turned = F.aggregate(steps, state, turn)
-    # Gray decoding along the dimensions.
-    gray = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.aggregate(F.slice(turned, F.lit(1), k), F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(v)))
-    lowest = F.element_at(gray, n)
-    flips = F.aggregate(F.array(*[F.lit(1 << b).cast("bigint") for b in range(bits - 1, 0, -1)]), F.lit(0).cast("bigint"),
-                        lambda t, q: F.when(lowest.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    places = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    bit = F.flatten(F.transform(places, lambda b: F.transform(gray, lambda v: F.call_function("shiftright", v.bitwiseXOR(flips), b).bitwiseAND(F.lit(1).cast("bigint")))))
-    return F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, v: a * 2 + v)
+    def decode(x: Column) -> Column:
+        """Gray decoding along the dimensions, then the bits of all of them in turn."""
+        gray = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.aggregate(F.slice(x, F.lit(1), k), F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(v)))
+        return let(gray, lambda g: let(flips(F.element_at(g, n)), lambda f: woven(F.transform(g, lambda v: v.bitwiseXOR(f)))))
+
+    def flips(lowest: Column) -> Column:
+        return F.aggregate(F.array(*[F.lit(1 << b).cast("bigint") for b in range(bits - 1, 0, -1)]), F.lit(0).cast("bigint"),
+                           lambda t, q: F.when(lowest.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+
+    def woven(x: Column) -> Column:
+        number = F.lit(0).cast("bigint")
+        for b in range(bits - 1, -1, -1):
+            for i in range(n):
+                number = number + F.shiftleft(F.shiftright(F.get(x, F.lit(i)), b).bitwiseAND(F.lit(1).cast("bigint")), b * n + n - 1 - i)
+        return number
+
+    return let(F.aggregate(steps, state, turn), decode)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def as_number(column: Column, kind: str) -> Column:
@@ -76,10 +90,10 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = df.agg(*[F.percentile_approx(c, shares, ACCURACY).alias(d) for d, c in numbers.items()]).first()
 
-    def cell(number: Column, bounds: list) -> Column:
-        return F.aggregate(F.array(*[F.lit(float(x)) for x in bounds]), F.lit(0), lambda n, x: n + F.when(number > x, 1).otherwise(0))
+    def cell(bounds: list) -> Callable[[Column], Column]:
+        return lambda number: F.aggregate(F.array(*[F.lit(float(x)) for x in bounds]), F.lit(0), lambda n, x: n + F.when(number > x, 1).otherwise(0))
 
-    return [cell(c, cuts[d] or [0.0]) for d, c in numbers.items()]
+    return [let(c, cell(cuts[d] or [0.0])) for d, c in numbers.items()]
 
 
 def shard(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS, folder: str | None = None, bits: int = BITS) -> DataFrame:
@@ -99,11 +113,10 @@ def shard(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS,
     cuts = [r for r in keys.join(sizes, "run").where(rank.isin(firsts)).select(rank.alias("rank"), *order).collect()]
     if len(cuts) != len([f for f in firsts if f < total]):
         raise ValueError("runs were not written one file each")
-    mine = F.struct(*order)
+    bounds = [F.struct(*[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for cut in sorted(cuts, key=lambda r: r["rank"])]
     number = F.lit(0)
-    for cut in sorted(cuts, key=lambda r: r["rank"]):
-        bound = F.struct(*[F.lit(cut[c]).cast(dict(df.dtypes)[c]).alias(c) for c in order])
-        number = number + F.when(mine >= bound, 1).otherwise(0)
+    if bounds:
+        number = let(F.struct(*order), lambda mine: F.aggregate(F.array(*bounds), F.lit(0), lambda n, x: n + F.when(mine >= x, 1).otherwise(0)))
     folder = folder or session.run_dir(spark, "shards")
     placed = df.withColumn("shard", number.cast("int")).repartitionByRange("shard", *order).sortWithinPartitions("shard", *order)
     placed.withColumn("run", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
