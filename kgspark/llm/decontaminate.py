@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from kgspark.llm.batches import text_chunks
+from kgspark.llm.batches import text_chunks, words_in
 from kgspark.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -39,24 +39,26 @@ SHARD_WORDS = 1_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text) -> list[bytes]:
-    return text.translate(_FOLD).split() if text else []
+def folded(text: bytes | None) -> bytes | None:
+    return text.translate(_FOLD) if text else None
 
 
 class Phrases(NamedTuple):
-    """Distinct phrases as rows of word numbers (from 1), and the items of each."""
+    """Sorted names of all their words, distinct phrases as rows of word numbers (from 1), and the items of each."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: np.ndarray
     patterns: np.ndarray
     lengths: np.ndarray
     items: list[list]
 
 
 def phrases(items: list[tuple], window: int) -> Phrases:
-    vocabulary: dict[bytes, int] = {}
     owners: dict[tuple, set] = {}
-    for item_id, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text.encode() if text else None)]
+    found = words_in([folded(text.encode()) if text else None for _, text in items])
+    vocabulary, number = np.unique(found.names, return_inverse=True)
+    ends = np.cumsum(found.counts)
+    for (item_id, _), n, end in zip(items, found.counts, ends):
+        ids = (number[end - n : end] + 1).tolist()
         for i in range(max(1, len(ids) - window + 1) if ids else 0):
             owners.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
     patterns = np.zeros((len(owners), window), np.int64)
@@ -104,37 +106,41 @@ def _pass(wanted: Phrases, last: bool):
     """One block of phrases against all documents; the last pass drops the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = wanted.vocabulary.get
+        vocabulary = wanted.vocabulary if len(wanted.vocabulary) else np.zeros(1, np.uint64)
         parts: list[pa.RecordBatch] = []
         held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            lengths = np.array([len(x) for x in held])
-            begins = np.cumsum(lengths) - lengths
+            n_ids = np.concatenate(lengths)
+            begins = np.cumsum(n_ids) - n_ids
             hit, met = _shard(np.concatenate(held), begins, wanted)
             spans, items = [], []
             old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            for (had, knew), a, n, ids in zip(old, begins.tolist(), lengths.tolist(), met):
+            for (had, knew), a, n, ids in zip(old, begins.tolist(), n_ids.tolist(), met):
                 mine = hit[a : a + n - 1].copy()
                 for x, y in had:
                     mine[x:y] = True
                 spans.append(np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0])))).reshape(-1, 2).tolist())
                 items.append(sorted(ids.union(knew)))
-            new = {"n_words": pa.array(lengths - 1), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "items": pa.array(items, batch.column("items").type)}
+            new = {"n_words": pa.array(n_ids - 1), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "items": pa.array(items, batch.column("items").type)}
             names = [c for c in batch.schema.names if not (last and c == "text")]
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
         for part, texts in text_chunks(batches):
-            for text in texts:
-                ids = np.array([get(w, 0) for w in words_of(text)] + [0], np.int64)
-                held.append(ids)
-                size += len(ids)
+            found = words_in([folded(t) for t in texts])
+            number = np.minimum(np.searchsorted(vocabulary, found.names), len(vocabulary) - 1)
+            ends = np.cumsum(found.counts)
+            # One 0 behind each document keeps matches within it.
+            held.append(np.insert(np.where(vocabulary[number] == found.names, number + 1, 0), ends, 0))
+            lengths.append(found.counts + 1)
+            size += len(held[-1])
             parts.append(part)
             if size >= SHARD_WORDS:
                 yield from flush()
-                parts, held, size = [], [], 0
+                parts, held, lengths, size = [], [], [], 0
         if parts:
             yield from flush()
 

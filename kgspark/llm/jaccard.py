@@ -34,23 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.batches import keyed, same, text_chunks, word_names, written
+from kgspark.llm.batches import keyed, mix, same, text_chunks, words_in, written
 from kgspark.llm.graph import components
-from kgspark.llm.parsing import mix
 
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Growth of the number of pivots per key from level to level.
 GROWTH = 8
-NAMES = 400_000
 
 
-def shingle_sets(texts: list, names: dict, width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list, width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (bytes; A-Z count as a-z)."""
-    if len(names) > NAMES:
-        names.clear()
-    words, counts = word_names([t.lower() if t else t for t in texts], names)
+    words, counts = (w := words_in([t.lower() if t else t for t in texts])).names, w.counts
     last = max(len(words) - width + 1, 0)
     code = mix(words[:last], 17)
     for k in range(1, width):
@@ -86,10 +82,9 @@ _PROFILE = "doc_id long, text_key long, n_shingles long, digest string, sig long
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict = {}
     for part, texts in text_chunks(batches):
         n, digest, sig, needed, prefix = [], [], [], [], []
-        for s in shingle_sets(texts, names):
+        for s in shingle_sets(texts):
             n.append(len(s))
             code = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
             digest.append(code and code.hex())
@@ -103,9 +98,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict = {}
     for part, texts in text_chunks(batches):
-        sets = shingle_sets(texts, names)
+        sets = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays(
             [part.column("sig"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
             names=["sig", "n", "shingles"])

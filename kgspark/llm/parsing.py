@@ -18,8 +18,9 @@ from typing import NamedTuple
 
 import numpy as np
 
+from kgspark.llm.batches import mix
+
 FAR = np.int64(1) << 40
-_A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -31,14 +32,6 @@ class Symbols(NamedTuple):
     hi: np.ndarray
 
 
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = (x ^ np.uint64(salt * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * _A
-    x ^= x >> np.uint64(32)
-    x *= _B
-    x ^= x >> np.uint64(29)
-    return x
-
-
 def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[Symbols, np.ndarray, np.ndarray]:
     """Runs of an equal word become one symbol; first and last flag the ends of documents."""
     n = len(words)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kgspark.llm.batches import same, text_chunks, word_names, written
+from kgspark.llm.batches import same, text_chunks, words_in, written
 
 REPEAT = 8
 REJECT_RATE, STRICT_RATE = 0.5, 0.25
@@ -37,19 +37,19 @@ _SYMBOLS = b"#*$%&|<>"
 _NO_CHAR = _SPACE + bytes(range(0x80, 0xC0))
 
 
-def repeated_words(words: list[bytes], names: dict, width: int = REPEAT) -> int:
-    """Words in windows of ``width`` words that occur twice or more in the list."""
-    n = len(words) - width + 1
+def repeated_words(names: np.ndarray, text: bytes, width: int = REPEAT) -> int:
+    """Words in windows of ``width`` words that occur twice or more in a text; ``names`` has its words' names."""
+    n = len(names) - width + 1
     if n < 2:
         return 0
-    ids = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
     code = np.zeros(n, np.uint64)
     for k in range(width):
-        code = code * np.uint64(0x5851F42D4C957F2D) + ids[k : k + n]
+        code = code * np.uint64(0x5851F42D4C957F2D) + names[k : k + n]
     order = np.sort(code)
     twice = np.unique(order[1:][order[1:] == order[:-1]])
     if not len(twice):
         return 0
+    words = text.split()
     seen: dict[tuple, list[int]] = {}
     for i in np.flatnonzero(np.isin(code, twice)).tolist():
         seen.setdefault(tuple(words[i : i + width]), []).append(i)
@@ -65,19 +65,17 @@ _MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict = {}
     for part, texts in text_chunks(batches):
-        if len(names) > 400_000:
-            names.clear()
-        word_names(texts, names)
+        found = words_in(texts)
+        ends = np.cumsum(found.counts)
         rows = np.zeros((len(texts), len(_MEASURES)), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            words = text.split()
+            own = found.names[ends[i] - found.counts[i] : ends[i]]
             lines = [x for x in text.split(b"\n") if x.strip(_SPACE)]
-            rows[i] = (len(words), len(text.translate(None, _NO_CHAR)), len(text) - len(text.translate(None, _SYMBOLS)),
-                       len(lines), len(lines) - len(set(lines)), repeated_words(words, names))
+            rows[i] = (len(own), len(text.translate(None, _NO_CHAR)), len(text) - len(text.translate(None, _SYMBOLS)),
+                       len(lines), len(lines) - len(set(lines)), repeated_words(own, text))
         carried = [c for c in part.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in carried), *(pa.array(rows[:, k]) for k in range(len(_MEASURES)))], names=[*carried, *_MEASURES])

@@ -28,23 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.batches import keyed, text_chunks, word_names, written
-from kgspark.llm.parsing import Symbols, mix, parse
+from kgspark.llm.batches import keyed, mix, powers, text_chunks, words_in, written
+from kgspark.llm.parsing import Symbols, parse
 
 WINDOW = 50
 ROUNDS, CAP = 7, 14
-#: Cached word names in a Python worker.
-NAMES = 400_000
 
 
 def _usable(s: Symbols, window: int) -> np.ndarray:
     return s.hi - s.lo <= window
 
 
-def _parsed(texts: list, names: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Symbols]:
-    if len(names) > NAMES:
-        names.clear()
-    words, counts = word_names(texts, names)
+def _parsed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, Symbols]:
+    words, counts = (w := words_in(texts)).names, w.counts
     ends = np.cumsum(counts)
     begins = ends - counts
     return words, begins, ends, (parse(words, begins[counts > 0], ROUNDS, CAP) if len(words) else Symbols(*[np.empty(0, np.int64)] * 5))
@@ -61,9 +57,8 @@ def symbol_rows(window: int):
                         ("symbols", pa.list_(pa.int64())), ("blind", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict = {}
         for part, texts in text_chunks(batches):
-            words, begins, ends, s = _parsed(texts, names)
+            words, begins, ends, s = _parsed(texts)
             n = len(words)
             ok = _usable(s, window)
             seen = _windows_with(s.lo[ok], s.hi[ok], n, window) if n else np.empty(0, bool)
@@ -82,17 +77,11 @@ def symbol_rows(window: int):
     return run
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def window_names(words: np.ndarray, window: int, salt: int) -> np.ndarray:
     """A 64-bit name of the words of each window, from one pass of prefix sums modulo 2**64."""
     base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[salt]
-    up, down = _power(base, len(words)), _power(pow(base, -1, 1 << 64), len(words))
-    total = np.append(np.uint64(0), np.cumsum(mix(words, 11 + salt) * up[:-1], dtype=np.uint64))
+    up, down = powers(base, len(words)), powers(pow(base, -1, 1 << 64), len(words))
+    total = np.append(np.uint64(0), np.cumsum(mix(words, 11 + salt) * up, dtype=np.uint64))
     return mix((total[window:] - total[:-window]) * down[: len(words) - window + 1], 13 + salt)
 
 
@@ -100,9 +89,8 @@ def window_rows(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict = {}
         for part, texts in text_chunks(batches):
-            words, begins, ends, s = _parsed(texts, names)
+            words, begins, ends, s = _parsed(texts)
             n = len(words)
             if n < window:
                 continue

@@ -18,6 +18,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark import session
-from kgspark.llm.batches import text_chunks, written
+from kgspark.llm.batches import text_chunks, words_in, written
 from kgspark.llm.storage import Output, Ranges, make_dir
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -40,9 +41,11 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 18
 LEVEL = 1
 #: Cached chunks of text in a Python worker, and unseen ones encoded in one call.
-CACHE, AT_ONCE = 300_000, 20_000
+CACHE, AT_ONCE = 1_500_000, 20_000
 #: An added token that cannot come out of ordinary text; it parts the chunks of one call.
 PART = "<|startoftext|>"
+#: What the vocabulary's pattern sets apart, for lower-case ASCII.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,7 +59,8 @@ class ChunkEncoder:
 
     White space ends every piece of such a vocabulary, so a text's ids are those
     of its chunks in turn. Each distinct chunk is encoded once per worker, many
-    in one call with a parting token between them.
+    in one call. Chunks of letters are one piece before merging, whose last id
+    carries the word end; others are parted by an added token.
     """
 
     def __init__(self, path: str, part: str = PART):
@@ -64,43 +68,103 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.part, self.part_id = part, self.tokenizer.token_to_id(part)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, self.kind)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        part = self.part.encode()
-        simple = []
-        for c in chunks:
-            if b"<|" in c:  # may hold an added token, so it is encoded by itself
-                self.known[c] = self._ids(c.decode()).tobytes()
-            else:
-                simple.append(c)
-        for i in range(0, len(simple), AT_ONCE):
-            some = simple[i : i + AT_ONCE]
-            ids = self._ids(part.join(some).decode())
+    def _pieces(self, chunk: str) -> list[str]:
+        """The parts of a chunk that the vocabulary's own pattern sets apart; none if that is not plain to see."""
+        if chunk.lower().isalpha():
+            return [chunk]
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            return PIECES.findall(chunk.lower())
+        if chunk[-1] in ".," and chunk[:-1].lower().isalpha():  # lower case may add a mark
+            return [chunk[:-1], chunk[-1]]
+        return []
+
+    def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(pieces), AT_ONCE):
+            some = pieces[i : i + AT_ONCE]
+            ids = self._ids(" ".join(some))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            # A letter whose lower case has a mark of its own parts its word; then each piece is encoded apart.
+            whole = len(stops) == len(some)
+            out += [ids[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())] if whole else self._encode_parted(some)
+        return out
+
+    def _encode_parted(self, chunks: list[str]) -> list[np.ndarray]:
+        """Chunks of any kind; those that may hold an added token are encoded by themselves."""
+        plain = [c for c in chunks if "<|" not in c]
+        out = {c: self._ids(c) for c in chunks if "<|" in c}
+        for i in range(0, len(plain), AT_ONCE):
+            ids = self._ids(self.part.join(plain[i : i + AT_ONCE]))
             cuts = np.flatnonzero(ids == self.part_id)
-            for c, a, b in zip(some, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
-                self.known[c] = ids[a:b].tobytes()
-
-    def encode(self, texts: list) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+            for c, a, b in zip(plain[i : i + AT_ONCE], np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
+                out[c] = ids[a:b]
+        return [out[c] for c in chunks]
+
+    def _add(self, names: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Puts new names (sorted) and their ids into the table."""
+        if not ids:
+            return
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.pool) + np.cumsum(size) - size
+        spot = np.searchsorted(self.names, names)
+        self.pool = np.concatenate([self.pool, *ids])
+        self.at, self.size = np.insert(self.at, spot, at), np.insert(self.size, spot, size)
+        self.names = np.insert(self.names, spot, names)
+
+    def _unknown(self, names: np.ndarray) -> np.ndarray:
+        spot = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return self.names[spot] != names if len(self.names) else np.ones(len(names), bool)
+
+    def _learn(self, chunks: list[str], names: np.ndarray) -> None:
+        """Adds unknown chunks, whose sorted names are given."""
+        one = np.array([c.lower().isalpha() for c in chunks])
+        self._add(names[one], self._encode_pieces([c for c, x in zip(chunks, one) if x]))
+        chunks, names = [c for c, x in zip(chunks, one) if not x], names[~one]
+        parts = [self._pieces(c) for c in chunks]
+        pieces = sorted({p for ps in parts for p in ps})
+        own = words_in([" ".join(pieces).encode()]).names
+        order = np.argsort(own)
+        order = order[self._unknown(own[order])]
+        self._add(own[order], self._encode_pieces([pieces[i] for i in order.tolist()]))
+        left = self._unknown(names)
+        chunks, parts, names = [c for c, x in zip(chunks, left) if x], [p for p, x in zip(parts, left) if x], names[left]
+        spot = np.searchsorted(self.names, own)
+        where = {p: (a, a + n) for p, a, n in zip(pieces, self.at[spot].tolist(), self.size[spot].tolist())}
+        odd = [c for c, ps in zip(chunks, parts) if not ps]
+        known = dict(zip(odd, self._encode_parted(odd)))
+        pool = self.pool
+        self._add(names, [np.concatenate([pool[slice(*where[p])] for p in ps]) if ps else known[c] for c, ps in zip(chunks, parts)])
+
+    def encode(self, texts: list) -> list[np.ndarray]:
         # The vocabulary lower-cases, so A-Z may go first; not beside "<|", where lower case could make an added token.
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        unseen = set().union(*split) - known.keys()
-        tails = {}
-        for c in unseen:
-            # Most unseen chunks are a known word with one mark behind it; the mark is a piece of its own.
-            if c[-1] in b".," and c[:-1].isalpha():
-                tails[c] = c[:-1]
-        self._learn(sorted((unseen - tails.keys()) | ({*tails.values(), *(c[-1:] for c in tails)} - known.keys())))
-        for c, stem in tails.items():
-            known[c] = known[stem] + known[c[-1:]]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        found = words_in([(t if b"<|" in t else t.lower()) if t else t for t in texts], marks=True)
+        if len(self.names) > CACHE:
+            self.forget()
+        names, first, inverse = np.unique(found.names, return_index=True, return_inverse=True)
+        new = self._unknown(names)
+        if new.any():
+            self._learn([found.word(i).decode() for i in first[new].tolist()], names[new])
+        spot = np.searchsorted(self.names, names)
+        at, size = (self.at[spot][inverse], self.size[spot][inverse]) if len(names) else (self.at[:0], self.size[:0])
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.arange(total) + np.repeat(at - (ends - size), size)]
+        cuts = np.append(0, ends)[np.cumsum(found.counts)]
+        return np.split(ids, cuts[:-1]) if len(cuts) else []
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -163,8 +227,8 @@ def _writer(folder: str, path: str, end_id: int):
         for part, texts in text_chunks(batches):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts)):
                 file = file or _File(uri)
-                n = len(ids) // coder.kind.itemsize + 1
-                file.add(doc_id, ids + end, n)
+                n = len(ids) + 1
+                file.add(doc_id, ids.tobytes() + end, n)
                 tokens += n
         if file:
             n_docs = len(file.docs)
