@@ -7,15 +7,19 @@
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match the targets in least squares. Each step is
    one aggregate over all documents (as many sums as domains) and one projected
-   gradient update. Steps are taken in the metric that weighs a document by its
-   tokens and scaled by the domains' Gram matrix, so few are needed.
-
-Only sums over domains reach the driver.
-
-Defined cases: null and empty texts have no tokens; they keep rate 1, as they
-weigh nothing. Rows that repeat a doc_id get one rate each. Labels with nulls
-teach nothing. Without labels every posterior is even. Empty tables give no rows.
-Further columns of the documents are kept.
+   gradient update, in the metric that weighs a document by its tokens and scaled
+   by the domains' Gram matrix, so few steps are needed.
+4. A document is taken ``copies`` times: the whole part of its rate, and once more
+   with the chance of the rest. Rates within ``SLACK`` of a whole number count as
+   that number, so documents of a domain that is to stay as it is all stay.
+
+Only the sums over domains reach the driver.
+
+Defined cases: null and empty texts have no tokens and keep rate 1, as they weigh
+nothing. Rows that repeat a doc_id and text get equal results. Labels with nulls
+and repeated labels (beyond the first by domain) teach nothing. Without labels
+every posterior is the even prior. Empty tables give no rows. Further columns of
+the documents are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -26,54 +30,106 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.batches import written
+from kgspark.llm.batches import keyed, same, written
 
-BUCKETS = 1 << 14
-#: Labelled documents that the classifier learns from, at most about so many.
+BUCKETS = 1 << 16
+#: Labelled documents that the classifier learns from, about so many at most.
 SAMPLE_ROWS = 20_000
-SMOOTHING = 0.5
-STEPS, TOLERANCE = 12, 1e-6
-#: Domains by name, as conditions on the labels; the first that holds counts.
+#: Tokens' worth of doubt about what a bucket says.
+SMOOTHING = 20.0
+STEPS, TOLERANCE, SLACK = 20, 1e-6, 0.1
+#: Domains as conditions on the labels; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
-#: Target tokens of a domain as a share of what it has.
+#: Target tokens of a domain as a share of the expected tokens it has.
 TARGETS = {"toxic": 0.0, "low": 0.5, "clean": 1.0}
 
 
-def words() -> Column:
-    """The words of a text, lower-cased, without marks at their ends."""
-    return F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9\u0080-\U0010ffff]+")
+def bucket() -> Column:
+    """Bucket of a word; none for what is left where a text begins or ends with a mark."""
+    return F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def words(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per word, lower-cased and without marks; a text without words gives a null bucket."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(*keep, F.explode(F.split(text, "[^a-z0-9\u0080-\U0010ffff]+")).alias("word")).select(*keep, bucket().alias("bucket"))
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(bucket, w): log-odds weights of a bucket, one per domain; bucket -1 holds the priors."""
-    names = list(domains)
+def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[float]]:
+    """(weights, log priors): weights has bucket and w0, w1, ..., how much a word in the bucket speaks for each domain."""
+    ks = range(len(domains))
     kind = F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in enumerate(domains.values())])
-    labels = labels.select("doc_id", kind.alias("domain")).where("domain is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    total = labels.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    chosen = written(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), "labelled")
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
-    present = rows.select("domain", F.explode(F.array_distinct(F.transform(words(), bucket))).alias("bucket"))
-    counts = written(present.groupBy("bucket").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(names))]), "buckets")
-    sizes = chosen.agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(names))]).first()
-    n = [float(s) for s in sizes]
-    rate = [F.log((F.col(f"c{k}") + SMOOTHING) / (n[k] + 2 * SMOOTHING)) for k in range(len(names))]
-    # A bucket speaks by how its rate in a domain differs from the mean of the domains.
-    mean = sum(rate[1:], rate[0]) / len(names)
-    weights = counts.select("bucket", F.array(*[r - mean for r in rate]).alias("w"))
-    prior = F.array(*[F.lit(math.log((x + 1) / (sum(n) + len(n)))) for x in n])
-    return written(weights.unionByName(docs.sparkSession.range(1).select(F.lit(-1).alias("bucket"), prior.alias("w"))), "weights")
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, domains: dict[str, str] = DOMAINS) -> DataFrame:
-    """``docs`` with ``tokens`` and ``posterior`` (one number per domain)."""
-    k = len(domains)
-    # The table has BUCKETS + 1 rows at most, so it may be broadcast and folded into one array.
-    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m")).select(
-        F.coalesce(F.get(F.col("m"), F.lit(-1)), F.lit(None)).alias("prior"))
-    del table
-    raise NotImplementedError
+    labels = labels.select("doc_id", kind.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    share = min(1.0, sample_rows / max(labels.count(), 1))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+    # The sample is bounded by ``sample_rows``, so it may be broadcast and no text moves.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    counts = written(words(rows, "domain").where("bucket is not null").groupBy("bucket").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in ks]), "buckets")
+    sums = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in ks]).first()
+    prior = [(s + 1.0) / (sum(sums) + len(sums)) for s in sums]
+    every = sum((F.col(f"c{k}") for k in ks), F.lit(0.0))
+    weights = counts.select("bucket", *[F.log((F.col(f"c{k}") + SMOOTHING * prior[k]) / (every + SMOOTHING) / prior[k]).alias(f"w{k}") for k in ks])
+    return written(weights, "weights"), [math.log(p) for p in prior]
+
+
+def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float]) -> DataFrame:
+    """doc_id, text_key, tokens and ``p`` (a number per domain), one row per input row."""
+    ks = range(len(prior))
+    rows = words(keyed(docs).withColumn("row", F.monotonically_increasing_id()), "row", "doc_id", "text_key")
+    # BUCKETS rows at most.
+    scored = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row", "doc_id", "text_key").agg(
+        F.count("bucket").alias("tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks])
+    scores = [F.col(f"s{k}") + F.lit(prior[k]) for k in ks]
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    parts = F.transform(F.array(*[s - top for s in scores]), F.exp)
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
+    return scored.withColumn("parts", parts).select("doc_id", "text_key", "tokens", F.transform("parts", lambda x: x / total).alias("p"))
+
+
+def fit(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
+    """The rate of each row of ``members`` (tokens, p), as an expression of p."""
+    ks = range(len(targets))
+    p = [F.col("p")[k] for k in ks]
+    gram = members.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in ks for j in ks]).first()
+    gram = np.array(gram, float).reshape(len(targets), -1)
+    held = gram.sum(axis=1)
+    scale = np.linalg.pinv(gram + np.eye(len(targets)) * 1e-9 * max(gram.trace(), 1.0))
+    wanted = held * np.array(targets)
+    moves: list[np.ndarray] = []
+
+    def rate() -> Column:
+        start = F.lit(1.0)
+        if not moves:
+            return start
+        step = lambda r, v: F.greatest(F.lit(0.0), r - sum((v[k] * p[k] for k in ks[1:]), v[0] * p[0]))
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves]), start, step)
+
+    have = held
+    for _ in range(steps):
+        off = have - wanted
+        if np.abs(off).max() <= tolerance * max(held.sum(), 1.0):
+            break
+        moves.append(scale @ off)
+        have = np.array(members.withColumn("r", rate()).agg(*[F.sum(F.col("r") * F.col("tokens") * p[k]) for k in ks]).first(), float)
+    return F.when(F.col("tokens") > 0, rate()).otherwise(1.0)
+
+
+def rates(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """doc_id, text_key, tokens, p_<domain>, rate and copies, one row per input row."""
+    docs = docs.select("doc_id", "text")
+    weights, prior = train(docs, labels, domains)
+    members = written(posteriors(docs, weights, prior), "members")
+    found = members.withColumn("rate", fit(members, [targets[d] for d in domains]))
+    chance = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = F.abs(F.col("rate") - F.round("rate")) <= SLACK
+    copies = F.when(near, F.round("rate")).otherwise(F.floor(F.col("rate") + chance)).cast("int")
+    return found.select("doc_id", "text_key", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, each row as often as its copies say."""
+    found = written(rates(docs, labels), "rates").groupBy("doc_id", "text_key").agg(F.first("copies").alias("copies"))
+    chosen = found.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("copies").alias("mix_copies"))
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
+    rows = rows.join(chosen, same(F.col("doc_id"), F.col("mix_id")) & (F.col("text_key") == F.col("mix_key")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))).alias("copy")).select("row.*")
