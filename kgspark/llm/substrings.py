@@ -2,7 +2,7 @@
 
 1. Every text is parsed by rounds of run and pair replacement (`parsing`), whose
    symbols are named alike in all tasks. One row per document holds its symbols.
-2. A grouped minimum over symbols finds those that several documents share.
+2. Blocks of documents ask, packed, which of their symbols other documents share.
 3. A window can only be repeated if every symbol whose extent lies in it is
    shared. Only such windows (and those too uniform to hold a symbol) go on.
 4. They meet by a 128-bit name of their exact words; a grouped minimum gives the
@@ -25,10 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.batches import keyed, mix, powers, text_chunks, words_in, written
+from kgspark.llm.exchange import BLOCK_BYTES, counts_in, merged, shared_keys
 from kgspark.llm.parsing import Symbols, parse
 
 WINDOW = 50
@@ -52,11 +55,22 @@ def _windows_with(lo: np.ndarray, hi: np.ndarray, n: int, window: int) -> np.nda
     return np.cumsum(step)[:n] > 0
 
 
-def symbol_rows(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()),
-                        ("symbols", pa.list_(pa.int64())), ("blind", pa.bool_())])
+_BLOCKS = ("block long, doc_id array<long>, text_key array<long>, n_words array<long>, sha array<string>, blind array<boolean>, "
+           "symbols array<array<long>>")
+
+
+def symbol_blocks(window: int):
+    """One row per block of documents: their ids, sizes and digests, and the distinct usable symbols of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq, size = TaskContext.get().partitionId(), 0, 0
+        held: list[list] = [[] for _ in range(6)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([task << 24 | seq], pa.int64()), *(pa.array([h], pa.list_(k)) for h, k in zip(held, kinds))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "text_key", "n_words", "sha", "blind", "symbols"])
+
         for part, texts in text_chunks(batches):
             words, begins, ends, s = _parsed(texts)
             n = len(words)
@@ -64,19 +78,43 @@ def symbol_rows(window: int):
             seen = _windows_with(s.lo[ok], s.hi[ok], n, window) if n else np.empty(0, bool)
             name, at = s.name[ok].view(np.int64) if n else s.name, s.start[ok]
             cut = np.searchsorted(at, np.append(begins, n))
-            syms, blind, sha = [], [], []
-            for i, text in enumerate(texts):
-                syms.append(np.unique(name[cut[i] : np.searchsorted(at, ends[i])]) if n else name)
+            for i, (text, doc_id, key) in enumerate(zip(texts, part.column("doc_id").to_pylist(), part.column("text_key").to_pylist())):
                 last = ends[i] - window + 1
-                blind.append(bool(last > begins[i] and not seen[begins[i] : last].all()))
-                sha.append(hashlib.sha256(b" ".join(text.split()) if text else b"").hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), part.column("text_key"), pa.array(ends - begins), pa.array(sha),
-                 pa.array(syms, pa.list_(pa.int64())), pa.array(blind)], schema=schema)
+                known = doc_id is not None
+                row = (doc_id, key, int(ends[i] - begins[i]), hashlib.sha256(b" ".join(text.split()) if text else b"").hexdigest(),
+                       bool(known and last > begins[i] and not seen[begins[i] : last].all()),
+                       np.unique(name[cut[i] : np.searchsorted(at, ends[i])]) if n and known else name[:0])
+                for h, x in zip(held, row):
+                    h.append(x)
+                size += len(text or b"")
+            if size >= BLOCK_BYTES:
+                yield flush()
+                held, size, seq = [[] for _ in range(6)], 0, seq + 1
+        if held[0]:
+            yield flush()
 
     return run
 
 
+def _holders(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The documents of a block that hold shared symbols (or windows without symbols), with those symbols."""
+    known, df = merged(right)
+    rows: list[tuple] = []
+    for c in range(left.num_rows):
+        row = {n: left.column(n)[c] for n in ("doc_id", "text_key", "blind", "symbols")}
+        lists = row["symbols"].values
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        found = counts_in(keys, known, df) > 1
+        for doc_id, text_key, blind, a, b in zip(row["doc_id"].as_py(), row["text_key"].as_py(), row["blind"].as_py(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
+            mine = keys[a:b][found[a:b]]
+            if len(mine) or blind:
+                rows.append((doc_id, text_key, mine.view(np.int64)))
+    columns = list(zip(*rows)) or [[], [], []]
+    return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))],
+                                names=["doc_id", "text_key", "shared"])
+
+
 def window_names(words: np.ndarray, window: int, salt: int) -> np.ndarray:
     """A 64-bit name of the words of each window, from one pass of prefix sums modulo 2**64."""
     base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[salt]
@@ -149,15 +187,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
     word spans [start, stop).
     """
     docs = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    parsed = written(docs.mapInArrow(symbol_rows(window), "doc_id long, text_key long, n_words long, sha string, symbols array<long>, blind boolean"), "symbols")
-    symbols = parsed.where("doc_id is not null").select("doc_id", "text_key", F.explode("symbols").alias("symbol"))
-    shared = (
-        symbols.groupBy("symbol").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"))
-        .where("first < latest").select("symbol")
-    )
-    holders = symbols.join(shared, "symbol").groupBy("doc_id", "text_key").agg(F.collect_set("symbol").alias("shared"))
-    blind = parsed.where("blind and doc_id is not null").select("doc_id", "text_key", F.array().cast("array<long>").alias("shared"))
-    holders = holders.unionByName(blind).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    blocks = written(docs.mapInArrow(symbol_blocks(window), _BLOCKS), "symbols")
+    total = blocks.agg(F.sum(F.aggregate("symbols", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)))).first()[0] or 0
+    answers = shared_keys(blocks, "symbols", total)
+    holders = blocks.select("block", "doc_id", "text_key", "blind", "symbols").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _holders, "doc_id long, text_key long, shared array<long>").dropDuplicates(["doc_id", "text_key"])
     candidates = written(docs.join(holders, ["doc_id", "text_key"]), "candidates")
     windows = written(candidates.mapInArrow(window_rows(window), "doc_id long, text_key long, start int, h1 long, h2 long"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest")).where("first < latest")
@@ -169,7 +203,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
         candidates.drop("shared").join(starts, ["doc_id", "text_key"])
         .mapInArrow(removal_rows(window), "doc_id long, text_key long, n_removed long, kept_text string, spans array<array<int>>")
     )
-    return parsed.select("doc_id", "text_key", "n_words", "sha"), changed
+    every = blocks.select(F.inline(F.arrays_zip("doc_id", "text_key", "n_words", "sha")))
+    return every, changed
 
 
 def report(docs: DataFrame) -> DataFrame:
