@@ -30,11 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.batches import keyed, mix, same, text_chunks, words_in, written
+from kgspark.llm.exchange import BLOCK_BYTES, counts_in, merged, shared_keys
 from kgspark.llm.graph import components
 
 SHINGLE = 4
@@ -78,58 +81,118 @@ def slack(n: int) -> int:
     return n // 25
 
 
-_PROFILE = "doc_id long, text_key long, n_shingles long, digest string, sig long, needed int, prefix array<long>"
+_PROFILE = ("block long, doc_id array<long>, text_key array<long>, n_shingles array<long>, digest array<string>, sig array<long>, "
+            "needed array<int>, prefix array<array<long>>")
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of documents: ids, set sizes and digests, and each set's prefix of smallest hashes."""
+    task, seq, size = TaskContext.get().partitionId(), 0, 0
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    held: list[list] = [[] for _ in kinds]
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([task << 24 | seq], pa.int64()), *(pa.array([h], pa.list_(k)) for h, k in zip(held, kinds))],
+            names=["block", "doc_id", "text_key", "n_shingles", "digest", "sig", "needed", "prefix"])
+
     for part, texts in text_chunks(batches):
-        n, digest, sig, needed, prefix = [], [], [], [], []
-        for s in shingle_sets(texts):
-            n.append(len(s))
+        for doc_id, key, text, s in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), texts, shingle_sets(texts)):
             code = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            digest.append(code and code.hex())
-            sig.append(code and int.from_bytes(code[:8], "big", signed=True))
             least = shared_at_least(len(s))
-            needed.append(1 + slack(least))
-            prefix.append(s[: len(s) - least + 1 + slack(len(s))] if len(s) else s)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(sig, pa.int64()), pa.array(needed, pa.int32()),
-             pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "digest", "sig", "needed", "prefix"])
+            row = (doc_id, key, len(s), code and code.hex(), code and int.from_bytes(code[:8], "big", signed=True), 1 + slack(least),
+                   s[: len(s) - least + 1 + slack(len(s))] if len(s) else s)
+            for h, x in zip(held, row):
+                h.append(x)
+            size += len(text or b"")
+        if size >= BLOCK_BYTES:
+            yield flush()
+            held, size, seq = [[] for _ in kinds], 0, seq + 1
+    if held[0]:
+        yield flush()
+
+
+def _hits(lists: pa.Array, known: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all lists, the document count of each, and where each list ends."""
+    keys = lists.flatten().to_numpy().view(np.uint64)
+    return keys, counts_in(keys, known, df), np.cumsum(pc.list_value_length(lists).to_numpy())
+
+
+def _survivors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Sets of a block that have as many shared keys in their prefix as a link needs."""
+    known, df = merged(right)
+    rows = []
+    for c in range(left.num_rows):
+        _, counts, ends = _hits(left.column("prefix")[c].values, known, df)
+        hits = np.append(0, np.cumsum(counts > 1))
+        hits = np.diff(hits[np.append(0, ends)])
+        columns = [left.column(n)[c].as_py() for n in ("doc_id", "text_key", "digest", "sig", "needed")]
+        rows += [r[:4] for r, h in zip(zip(*columns), hits.tolist()) if r[2] is not None and h >= r[4]]
+    columns = list(zip(*rows)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "text_key", "digest", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of sets: their names and shingles."""
+    task, seq = TaskContext.get().partitionId(), 0
+    sigs, sets, size = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([sigs], pa.list_(pa.int64())), pa.array([sets], pa.list_(pa.list_(pa.int64())))],
+                                          names=["block", "sig", "shingles"])
+
     for part, texts in text_chunks(batches):
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("sig"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
-            names=["sig", "n", "shingles"])
+        sigs += part.column("sig").to_pylist()
+        sets += shingle_sets(texts)
+        size += sum(len(t or b"") for t in texts)
+        if size >= BLOCK_BYTES:
+            yield flush()
+            sigs, sets, size, seq = [], [], 0, seq + 1
+    if sigs:
+        yield flush()
+
+
+def _total(blocks: DataFrame, column: str) -> int:
+    return blocks.agg(F.sum(F.aggregate(column, F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)))).first()[0] or 0
 
 
 def _near(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Sets (sig, n, shingles) of the classes that may link, after the first filter."""
-    rows = profiles.where("n_shingles > 0").select("digest", "sig", "needed", F.explode("prefix").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
-    hits = rows.select("key", "sig", "needed").join(shared, "key").groupBy("sig").agg(F.count(F.lit(1)).alias("hits"), F.max("needed").alias("needed"))
-    near = hits.where("hits >= needed").select("sig")
-    # One text for each class, that of its smallest document; repeated rows of it do no harm below.
-    chosen = profiles.join(near, "sig").groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("c"))
+    """Blocks of sets (block, sig, shingles) of the classes that may link, after the first filter."""
+    answers = shared_keys(profiles, "prefix", _total(profiles, "prefix"))
+    asked = profiles.select("block", "doc_id", "text_key", "digest", "sig", "needed", "prefix")
+    near = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors, "doc_id long, text_key long, digest string, sig long")
+    # One text for each class, that of its smallest document.
+    chosen = near.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("c"))
     chosen = chosen.select("sig", F.col("c.doc_id").alias("chosen_id"), F.col("c.text_key").alias("chosen_key"))
     texts = docs.join(chosen, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_key") == F.col("chosen_key"))).select("sig", "text")
-    return written(texts.mapInArrow(_sets, "sig long, n int, shingles array<long>"), "sets")
+    return written(texts.mapInArrow(_sets, "block long, sig array<long>, shingles array<array<long>>"), "sets")
+
+
+def _prefixes(percent: int):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """(key, sig): the rarest shared shingles of each set that can still link, as many as a link needs."""
+        known, df = merged(right)
+        out_keys, out_sigs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for c in range(left.num_rows):
+            keys, counts, ends = _hits(left.column("shingles")[c].values, known, df)
+            for sig, a, b in zip(left.column("sig")[c].values.to_pylist(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
+                common = np.flatnonzero(counts[a:b] > 1)
+                needed = shared_at_least(b - a, percent)
+                if len(common) >= needed:
+                    # Shingles of its own come first in the order; the prefix has n - needed + 1 in all.
+                    order = np.lexsort((keys[a:b][common], counts[a:b][common]))
+                    mine = keys[a:b][common[order[: len(common) - needed + 1]]]
+                    out_keys.append(mine)
+                    out_sigs.append(np.full(len(mine), sig, np.int64))
+        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_sigs))], names=["key", "sig"])
+
+    return run
 
 
-def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, sig): the rarest shingles of each set that can still link, as many as a link needs."""
-    rows = sets.select("sig", "n", F.explode("shingles").alias("key"))
-    # A written table: the counts serve a filter and an order.
-    df = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = rows.join(df, "key").groupBy("sig").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("common"))
-    needed = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
-    common = common.where(F.size("common") >= needed)
-    # Shingles of its own come first in the order; the prefix has n - needed + 1 in all.
-    taken = F.size("common") - needed + 1
-    return common.select("sig", F.explode(F.slice("common", F.lit(1), taken)).alias("c")).select(F.col("c.key").alias("key"), "sig")
+def _keys(blocks: DataFrame, percent: int) -> DataFrame:
+    answers = shared_keys(blocks, "shingles", _total(blocks, "shingles"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefixes(percent), "key long, sig long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,11 +204,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("y", "p", "i", (F.col("total") - F.col("i")).alias("u"))
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(sig, label): components of the linked sets; sets without a link may be missing."""
-    spark = sets.sparkSession
+    spark = blocks.sparkSession
     reach = 1 - percent / 100 + 1e-9
-    keys = written(_keys(sets, percent), "keys")
+    keys = written(_keys(blocks, percent), "keys")
+    # Only sets with keys are compared; a repeated row of one text may give a set twice.
+    rows = blocks.select(F.inline(F.arrays_zip("sig", "shingles")))
+    sets = written(rows.join(keys.select("sig").distinct(), "sig").select("sig", F.size("shingles").alias("n"), "shingles"), "near-sets").dropDuplicates(["sig"])
     labels = written(keys.select("sig").distinct().withColumn("label", F.col("sig")), "labels")
     distances = spark.createDataFrame([], "y long, p long, d double")
     level = 0
@@ -193,6 +259,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     profiles = written(docs.mapInArrow(_profiles, _PROFILE), "profiles")
     labels = links(_near(docs, profiles), percent)
+    profiles = profiles.select(F.inline(F.arrays_zip("doc_id", "text_key", "n_shingles", "digest", "sig")))
     classes = profiles.where("n_shingles > 0").groupBy("digest", "sig").agg(F.min("doc_id").alias("smallest"))
     named = written(classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "classes")
     member = named.join(named.groupBy("label").agg(F.min("smallest").alias("component")), "label").select("digest", "component")
