@@ -2,7 +2,8 @@
 
 1. A naive Bayes classifier over hashed words learns the domains of a labelled
    table from a bounded sample of labelled documents (``SAMPLE_ROWS``, by hash of
-   doc_id). Its weights are one row per bucket, ``BUCKETS`` at most.
+   doc_id), copies of a text counting once. Only words whose document counts
+   differ from chance speak. Weights are one row per bucket, ``BUCKETS`` at most.
 2. Every document gets a posterior over domains from all its words.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match the targets in least squares. Each step is
@@ -35,8 +36,8 @@ from kgspark.llm.batches import keyed, same, written
 BUCKETS = 1 << 16
 #: Labelled documents that the classifier learns from, about so many at most.
 SAMPLE_ROWS = 20_000
-#: Tokens' worth of doubt about what a bucket says.
-SMOOTHING = 20.0
+#: Documents' worth of doubt about what a bucket says, and the standard errors by which it must differ from chance.
+SMOOTHING, SIGNIFICANT = 2.0, 6.0
 STEPS, TOLERANCE, SLACK = 20, 1e-6, 0.1
 #: Domains as conditions on the labels; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
@@ -49,10 +50,9 @@ def bucket() -> Column:
     return F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
 
 
-def words(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per word, lower-cased and without marks; a text without words gives a null bucket."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(*keep, F.explode(F.split(text, "[^a-z0-9\u0080-\U0010ffff]+")).alias("word")).select(*keep, bucket().alias("bucket"))
+def word_list() -> Column:
+    """The words of a text, lower-cased; marks at their ends go, symbols stay."""
+    return F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9#*$%&|<>-􏿿]+")
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[float]]:
@@ -63,11 +63,18 @@ def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     share = min(1.0, sample_rows / max(labels.count(), 1))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
     # The sample is bounded by ``sample_rows``, so it may be broadcast and no text moves.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counts = written(words(rows, "domain").where("bucket is not null").groupBy("bucket").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in ks]), "buckets")
-    sums = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in ks]).first()
+    rows = keyed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).dropDuplicates(["text_key"])
+    per_domain = [F.count_if(F.col("domain") == k).alias(f"c{k}") for k in ks]
+    rows = rows.select("text_key", "domain", F.explode(word_list()).alias("word")).select("text_key", "domain", bucket().alias("bucket"))
+    # A text without words has a null bucket, so every sampled text is among these.
+    sample = written(rows.groupBy("text_key", "bucket").agg(F.min("domain").alias("domain")), "sample")
+    sums = sample.groupBy("text_key").agg(F.min("domain").alias("domain")).agg(*per_domain).first()
     prior = [(s + 1.0) / (sum(sums) + len(sums)) for s in sums]
+    counts = sample.where("bucket is not null")
+    counts = counts.groupBy("bucket").agg(*per_domain)
     every = sum((F.col(f"c{k}") for k in ks), F.lit(0.0))
+    errors = [F.abs(F.col(f"c{k}") - every * prior[k]) / F.sqrt(every * prior[k] * (1 - prior[k])) for k in ks]
+    counts = counts.where(F.greatest(*errors, F.lit(0.0)) >= SIGNIFICANT)
     weights = counts.select("bucket", *[F.log((F.col(f"c{k}") + SMOOTHING * prior[k]) / (every + SMOOTHING) / prior[k]).alias(f"w{k}") for k in ks])
     return written(weights, "weights"), [math.log(p) for p in prior]
 
@@ -75,9 +82,10 @@ def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
 def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float]) -> DataFrame:
     """doc_id, text_key, tokens and ``p`` (a number per domain), one row per input row."""
     ks = range(len(prior))
-    rows = words(keyed(docs).withColumn("row", F.monotonically_increasing_id()), "row", "doc_id", "text_key")
+    keep = ["row", "doc_id", "text_key"]
+    rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.explode(word_list()).alias("word")).select(*keep, bucket().alias("bucket"))
     # BUCKETS rows at most.
-    scored = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row", "doc_id", "text_key").agg(
+    scored = rows.join(F.broadcast(weights), "bucket", "left").groupBy(*keep).agg(
         F.count("bucket").alias("tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks])
     scores = [F.col(f"s{k}") + F.lit(prior[k]) for k in ks]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
