@@ -24,6 +24,11 @@ def ranges_for(keys: int) -> int:
     return max(16, math.ceil(12 * keys / RANGE_BYTES))
 
 
+def range_bounds(ranges: int) -> np.ndarray:
+    """First keys of all ranges but the first, of equal width."""
+    return (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+
+
 def packer(column: str, ranges: int):
     """From rows (block, lists of keys, one list per document) to packed rows."""
 
@@ -33,8 +38,7 @@ def packer(column: str, ranges: int):
                 keys, df = np.unique(lists.values.flatten().to_numpy().view(np.uint64), return_counts=True)
                 if not len(keys):
                     continue
-                bounds = np.searchsorted(keys, (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64))
-                cuts = np.concatenate(([0], bounds, [len(keys)]))
+                cuts = np.concatenate(([0], np.searchsorted(keys, range_bounds(ranges)), [len(keys)]))
                 used = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block)),
