@@ -1,10 +1,11 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-1. A naive Bayes classifier over hashed words learns the domains of a labelled
-   table from a bounded sample of labelled documents (``SAMPLE_ROWS``, by hash of
-   doc_id), copies of a text counting once. Only words whose document counts
-   differ from chance speak. Weights are one row per bucket, ``BUCKETS`` at most.
-2. Every document gets a posterior over domains from all its words.
+1. A classifier learns the domains of a labelled table from a bounded sample of
+   labelled documents (``SAMPLE_ROWS``, by hash of doc_id), copies of a text counting
+   once. A word speaks for a domain if most of the documents that hold it are of
+   that domain. A document's cell is how many such words it has for each domain
+   (``MOST`` at most); the domains' shares in the cell, smoothed, are its posterior.
+2. Every document gets its posterior from all its words.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match the targets in least squares. Each step is
    one aggregate over all documents (as many sums as domains) and one projected
@@ -25,19 +26,16 @@ the documents are kept by ``mix``.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.batches import keyed, same, written
 
-BUCKETS = 1 << 16
 #: Labelled documents that the classifier learns from, about so many at most.
 SAMPLE_ROWS = 20_000
-#: Documents' worth of doubt about what a bucket says, and the standard errors by which it must differ from chance.
-SMOOTHING, SIGNIFICANT = 2.0, 6.0
+#: Share of a word's documents (and how many) that make it speak; words counted per domain; weight of the prior in a cell.
+PRECISION, SUPPORT, MOST, SMOOTHING = 0.8, 10, 3, 1.0
 STEPS, TOLERANCE, SLACK = 20, 1e-6, 0.1
 #: Domains as conditions on the labels; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
@@ -45,53 +43,59 @@ DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
 TARGETS = {"toxic": 0.0, "low": 0.5, "clean": 1.0}
 
 
-def bucket() -> Column:
-    """Bucket of a word; none for what is left where a text begins or ends with a mark."""
-    return F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-
-
 def word_list() -> Column:
     """The words of a text, lower-cased; marks at their ends go, symbols stay."""
     return F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9#*$%&|<>-􏿿]+")
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[float]]:
-    """(weights, log priors): weights has bucket and w0, w1, ..., how much a word in the bucket speaks for each domain."""
+def _cells(rows: DataFrame, speakers: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """``keep``, tokens and cell of each row's text; ``rows`` has one line per word."""
+    # The sample bounds the speakers, so they may be broadcast.
+    counts = rows.join(F.broadcast(speakers), "word", "left").groupBy(*keep).agg(
+        F.count_if(F.col("word") != "").alias("tokens"), *[F.count_if(F.col("speaks") == k).alias(f"n{k}") for k in range(n)])
+    cell = sum((F.least(F.col(f"n{k}"), F.lit(MOST)) * (MOST + 1) ** k for k in range(n)), F.lit(0))
+    return counts.select(*keep, "tokens", cell.cast("int").alias("cell"))
+
+
+def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, list[float]], list[float]]:
+    """(speakers, posterior of each cell, prior): speakers has word and the number of the domain it speaks for."""
     ks = range(len(domains))
     kind = F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in enumerate(domains.values())])
     labels = labels.select("doc_id", kind.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = min(1.0, sample_rows / max(labels.count(), 1))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    # The sample is bounded by ``sample_rows``, so it may be broadcast and no text moves.
+    # The sample is bounded by ``sample_rows``, so it may be broadcast and only its texts move.
     rows = keyed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).dropDuplicates(["text_key"])
     per_domain = [F.count_if(F.col("domain") == k).alias(f"c{k}") for k in ks]
-    rows = rows.select("text_key", "domain", F.explode(word_list()).alias("word")).select("text_key", "domain", bucket().alias("bucket"))
-    # A text without words has a null bucket, so every sampled text is among these.
-    sample = written(rows.groupBy("text_key", "bucket").agg(F.min("domain").alias("domain")), "sample")
-    sums = sample.groupBy("text_key").agg(F.min("domain").alias("domain")).agg(*per_domain).first()
+    words = written(rows.select("text_key", "domain", F.explode(word_list()).alias("word")), "sample")
+    sums = words.groupBy("text_key").agg(F.min("domain").alias("domain")).agg(*per_domain).first()
     prior = [(s + 1.0) / (sum(sums) + len(sums)) for s in sums]
-    counts = sample.where("bucket is not null")
-    counts = counts.groupBy("bucket").agg(*per_domain)
-    every = sum((F.col(f"c{k}") for k in ks), F.lit(0.0))
-    errors = [F.abs(F.col(f"c{k}") - every * prior[k]) / F.sqrt(every * prior[k] * (1 - prior[k])) for k in ks]
-    counts = counts.where(F.greatest(*errors, F.lit(0.0)) >= SIGNIFICANT)
-    weights = counts.select("bucket", *[F.log((F.col(f"c{k}") + SMOOTHING * prior[k]) / (every + SMOOTHING) / prior[k]).alias(f"w{k}") for k in ks])
-    return written(weights, "weights"), [math.log(p) for p in prior]
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float]) -> DataFrame:
+    most = max(ks, key=lambda k: prior[k])
+    counts = words.where("word <> ''").groupBy("text_key", "word").agg(F.min("domain").alias("domain")).groupBy("word").agg(*per_domain)
+    every = sum((F.col(f"c{k}") for k in ks), F.lit(0))
+    # The commonest domain needs no words of its own: it is what is left.
+    speaks = F.coalesce(*[F.when(F.col(f"c{k}") >= PRECISION * every, F.lit(k)) for k in ks if k != most], F.lit(None))
+    speakers = written(counts.where(every >= SUPPORT).select("word", speaks.alias("speaks")).where("speaks is not null"), "speakers")
+    cells = _cells(words, speakers, ["text_key", "domain"], len(domains)).groupBy("cell").agg(*per_domain).collect()
+    table = {}
+    for r in cells:  # (MOST + 1) ** domains at most
+        n = [r[f"c{k}"] for k in ks]
+        table[r["cell"]] = [(n[k] + SMOOTHING * prior[k]) / (sum(n) + SMOOTHING) for k in ks]
+    return speakers, table, prior
+
+
+def posteriors(docs: DataFrame, speakers: DataFrame, table: dict[int, list[float]], prior: list[float]) -> DataFrame:
     """doc_id, text_key, tokens and ``p`` (a number per domain), one row per input row."""
-    ks = range(len(prior))
     keep = ["row", "doc_id", "text_key"]
-    rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.explode(word_list()).alias("word")).select(*keep, bucket().alias("bucket"))
-    # BUCKETS rows at most.
-    scored = rows.join(F.broadcast(weights), "bucket", "left").groupBy(*keep).agg(
-        F.count("bucket").alias("tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks])
-    scores = [F.col(f"s{k}") + F.lit(prior[k]) for k in ks]
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = F.transform(F.array(*[s - top for s in scores]), F.exp)
-    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("parts", parts).select("doc_id", "text_key", "tokens", F.transform("parts", lambda x: x / total).alias("p"))
+    # The row number is set before words multiply the rows.
+    rows = keyed(docs).withColumn("row", F.monotonically_increasing_id()).select(*keep, F.explode(word_list()).alias("word"))
+    found = _cells(rows, speakers, keep, len(prior))
+    known = F.create_map(*[F.lit(x) for c, p in (table or {-1: prior}).items() for x in (c, F.array(*[F.lit(float(v)) for v in p]))])
+    # A cell that the sample did not meet speaks for its domains alike.
+    met = [F.floor(F.col("cell") / (MOST + 1) ** k) % (MOST + 1) for k in range(len(prior))]
+    weight = [m + F.lit(p) for m, p in zip(met, prior)]
+    fallback = F.array(*[w / sum(weight[1:], weight[0]) for w in weight])
+    return found.select("doc_id", "text_key", "tokens", F.coalesce(known[F.col("cell")], fallback).alias("p"))
 
 
 def fit(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
@@ -125,8 +129,7 @@ def fit(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance:
 def rates(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, text_key, tokens, p_<domain>, rate and copies, one row per input row."""
     docs = docs.select("doc_id", "text")
-    weights, prior = train(docs, labels, domains)
-    members = written(posteriors(docs, weights, prior), "members")
+    members = written(posteriors(docs, *train(docs, labels, domains)), "members")
     found = members.withColumn("rate", fit(members, [targets[d] for d in domains]))
     chance = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = F.abs(F.col("rate") - F.round("rate")) <= SLACK
