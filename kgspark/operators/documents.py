@@ -30,11 +30,11 @@ def _pieces(df: DataFrame, keys: list[str], tokens: Column, bounds: Column, stri
 
 
 def fixed_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP,
-                 minimum: int = fixed.CHUNK_MIN) -> DataFrame:
+                 minimum: int = 0) -> DataFrame:
     """Overlapping windows of whitespace tokens; a document up to ``size`` stays whole.
 
-    The last window ends the document, so the walk always ends. Windows shorter
-    than ``minimum`` are dropped unless they are the first.
+    The last window ends the document, so the walk always ends and no token is
+    lost. With ``minimum``, shorter windows are dropped unless they are the first.
     """
     step = size - overlap
     # The blank test reads the text, so the tokens are not computed a second time for the filter.
@@ -53,12 +53,13 @@ def fixed_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE, o
 
 
 def sentence_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP,
-                    minimum: int = fixed.CHUNK_MIN, keep_tail: bool = False) -> DataFrame:
+                    minimum: int = fixed.CHUNK_MIN, keep_tail: bool = True) -> DataFrame:
     """Windows that end at a sentence end within their last fifth where there is one.
 
     The next start depends on the last cut, so the cuts of a document are an
     ``aggregate`` over at most as many steps as it can have windows; all of it
-    stays in the JVM. A short remainder is dropped unless ``keep_tail``.
+    stays in the JVM. A remainder shorter than
+    ``minimum`` becomes a chunk of its own, or is dropped without ``keep_tail``.
     """
     # The blank test reads the text, so the tokens are not computed a second time for the filter.
     toks = spread(df).filter(X.strip(F.col("text")) != "").withColumn("toks", X.words(F.col("text")))

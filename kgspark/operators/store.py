@@ -7,7 +7,7 @@ on partitioning. Everything is an aggregation or an equality join on the key.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: st
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The row with the greatest order value of each key replaces all columns."""
+    """A batch row replaces the stored row of its key, whatever its order value; within the batch the greatest order value wins."""
     rest = [c for c in old.columns if c not in keys]
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__new", order)).alias("r")).select(*keys, "r.*")
@@ -37,8 +37,16 @@ def upsert_increment(old: DataFrame, new: DataFrame, keys: Sequence[str], count:
         F.sum(count).alias(count), F.min_by(keep_first, F.struct("__new", order)).alias(keep_first))
 
 
-def coalesce_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_when_null: Sequence[str]) -> DataFrame:
-    """New values replace old ones, except that nulls in ``keep_when_null`` leave the old value."""
+def coalesce_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_when_null: Sequence[str], order: Optional[str] = None) -> DataFrame:
+    """New values replace old ones, except that nulls in ``keep_when_null`` leave the old value.
+
+    Rows of one key in the batch are settled first, as if they came one by one in
+    the order of ``order`` (of all their values where it is not given).
+    """
+    rest = [c for c in old.columns if c not in keys]
+    by = F.col(order) if order else F.struct(*rest)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), by)) if c in keep_when_null else F.max_by(F.struct(c), by)[c]
+    new = new.groupBy(*keys).agg(*[last(c).alias(c) for c in rest])
     o, n = old.alias("o"), new.alias("n")
     cond = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     in_new = F.col(f"n.{keys[0]}").isNotNull()

@@ -88,7 +88,7 @@ WITH t AS (SELECT doc_id, {_TOKENS} AS toks, {_STRIP} AS whole FROM documents),
 b AS (SELECT doc_id, toks, whole, len(toks) AS n, unnest(range(0, CAST(greatest(ceil((len(toks) - 500) / 450.0), 0) AS BIGINT) + 1)) AS i FROM t WHERE len(toks) > 0),
 c AS (SELECT doc_id, i * 450 AS s, least(i * 450 + 500, n) AS e, n, CASE WHEN n <= 500 THEN whole ELSE array_to_string(toks[i * 450 + 1 : i * 450 + 500], ' ') END AS text FROM b)
 SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks,
-CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, sha256(text) AS text_hash FROM c WHERE s = 0 OR e - s >= 100 WINDOW w AS (PARTITION BY doc_id ORDER BY s)""")
+CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, sha256(text) AS text_hash FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY s)""")
 def fixed_chunks(spark, sf):
     docs = T.table(spark, sf, "documents").select("doc_id", "text")
     return D.fixed_chunks(docs, ["doc_id"]).withColumn("text_hash", F.sha2("text", 256)).drop("text")
@@ -100,7 +100,8 @@ stops AS (SELECT doc_id, [i for i in range(1, len(toks) + 1) if regexp_matches(t
 walk AS (SELECT doc_id, n, stops, CAST(0 AS BIGINT) AS s, CAST(CASE WHEN n <= 500 THEN n ELSE coalesce(list_max([p for p in stops if p <= 500 AND p > 400]), 500) END AS BIGINT) AS e FROM stops WHERE n > 0
  UNION ALL SELECT doc_id, n, stops, s, CAST(coalesce(list_max([p for p in stops if p <= least(s + 500, n) AND p > greatest(s, least(s + 500, n) - 100)]), least(s + 500, n)) AS BIGINT) AS e
  FROM (SELECT doc_id, n, stops, greatest(e - 50, s + 1) AS s FROM walk WHERE n > 500) WHERE s < n),
-kept AS (SELECT * FROM walk WHERE s = 0 OR e - s >= 100)
+long AS (SELECT doc_id, n, s, e FROM walk WHERE s = 0 OR e - s >= 100),
+kept AS (SELECT * FROM long UNION ALL SELECT doc_id, n, max(e) AS s, n AS e FROM long GROUP BY doc_id, n HAVING max(e) < n)
 SELECT k.doc_id, CAST(row_number() OVER (PARTITION BY k.doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY k.doc_id) AS INTEGER) AS total_chunks,
 CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token,
 sha256(CASE WHEN n <= 500 THEN whole ELSE array_to_string(toks[s + 1 : e], ' ') END) AS text_hash FROM kept k JOIN t ON t.doc_id = k.doc_id""")
@@ -126,7 +127,7 @@ def text_search_ilike(spark, sf):
 WITH t AS (SELECT doc_id, source, {_TOKENS} AS toks, {_STRIP} AS whole FROM documents),
 b AS (SELECT *, len(toks) AS n, unnest(range(0, CAST(greatest(ceil((len(toks) - 500) / 450.0), 0) AS BIGINT) + 1)) AS i FROM t WHERE len(toks) > 0),
 c AS (SELECT doc_id, source, i * 450 AS s, least(i * 450 + 500, n) AS e, CASE WHEN n <= 500 THEN whole ELSE array_to_string(toks[i * 450 + 1 : i * 450 + 500], ' ') END AS text FROM b)
-SELECT doc_id, source, CAST(s AS INTEGER) AS start_token, left(text, 500) AS content_preview FROM c WHERE (s = 0 OR e - s >= 100) AND text ILIKE '%ing the%'
+SELECT doc_id, source, CAST(s AS INTEGER) AS start_token, left(text, 500) AS content_preview FROM c WHERE text ILIKE '%ing the%'
 ORDER BY doc_id DESC, s LIMIT 25""")
 def chunk_search(spark, sf):
     docs = T.table(spark, sf, "documents").select("doc_id", "source", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ def local_session(app: str = "kgspark", cores: str = "*", partitions: int = 8) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("kgspark.spread", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -27,12 +30,15 @@ def local_session(app: str = "kgspark", cores: str = "*", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only when the setting is missing (a test on one machine) is a local
-    temporary folder made and recorded in the session.
+    Only when the setting is missing on a local master (a test on one machine)
+    is a temporary folder made and recorded in the session; on a cluster a
+    folder of one machine would lose rows, so a missing setting is an error.
     """
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} is not set: name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kgspark-")
         spark.conf.set(key, folder)
     return folder.rstrip("/")
@@ -55,10 +61,6 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More tasks for work that is heavy per row, when the input has few splits.
-
-    A large input has more splits than the cluster has cores and passes
-    unchanged; only a small or unsplittable one is shuffled.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """More tasks for work that is heavy per row, as ``kgspark.spread`` says; unset, the input's own splits stay."""
+    wanted = df.sparkSession.conf.get("kgspark.spread", None)
+    return df.repartition(int(wanted)) if wanted else df

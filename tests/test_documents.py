@@ -12,17 +12,17 @@ def bounds(rows):
 def test_sentence_chunks(spark):
     stop = lambda n, at: " ".join(f"w{i}." if i in at else f"w{i}" for i in range(1, n + 1))
     docs = spark.createDataFrame([(1, stop(560, {471})), (2, stop(1200, set(range(10, 1201, 10)))), (3, stop(900, set())), (4, "  short   text "), (5, "  ")], "doc_id int, text string")
-    out = D.sentence_chunks(docs, ["doc_id"]).collect()
+    out = D.sentence_chunks(docs, ["doc_id"], keep_tail=False).collect()
     by = lambda k: [r for r in out if r.doc_id == k]
     assert bounds(by(1)) == [(0, 471)]
     assert bounds(by(2)) == [(0, 500), (450, 950), (900, 1200)]
     assert bounds(by(3)) == [(0, 500), (450, 900)]
     assert [(r.text, r.total_chunks) for r in by(4)] == [("short   text", 1)] and not by(5)
-    kept = D.sentence_chunks(docs, ["doc_id"], keep_tail=True).filter("doc_id = 1").collect()
+    kept = D.sentence_chunks(docs, ["doc_id"]).filter("doc_id = 1").collect()
     assert bounds(kept) == [(0, 471), (471, 560)]
 
 
-@pytest.mark.parametrize("n, want", [(500, [(0, 500)]), (520, [(0, 500)]), (560, [(0, 500), (450, 560)]), (1000, [(0, 500), (450, 950), (900, 1000)])])
+@pytest.mark.parametrize("n, want", [(500, [(0, 500)]), (530, [(0, 500), (450, 530)]), (560, [(0, 500), (450, 560)]), (1000, [(0, 500), (450, 950), (900, 1000)])])
 def test_fixed_chunks(spark, n, want):
     docs = spark.createDataFrame([(1, " ".join(["w"] * n))], "doc_id int, text string")
     assert bounds(D.fixed_chunks(docs, ["doc_id"]).collect()) == want

@@ -111,6 +111,8 @@ def test_store(spark):
     assert rows(S.upsert_latest(old, new, ["k"], "o")) == {(1, "a"), (2, "d"), (3, "e")}
     assert rows(S.upsert_latest(S.upsert_latest(old, new, ["k"], "o"), new, ["k"], "o")) == {(1, "a"), (2, "d"), (3, "e")}
     assert rows(S.coalesce_merge(old, df([(2, None, 5), (4, "x", 1)]), ["k"], ["v"])) == {(1, "a"), (2, "b"), (4, "x")}
+    again = S.coalesce_merge(old, df([(2, "z", 5), (2, None, 6), (4, "x", 1)]), ["k"], ["v"], order="o").collect()
+    assert {r.k: r.v for r in again} == {1: "a", 2: "z", 4: "x"} and len(again) == 3
     assert rows(S.replace_source(old, df([(2, "n", 1)]), "k")) == {(1, "a"), (2, "n")}
 
 
