@@ -9,6 +9,7 @@ all others. The join goes in steps that each keep every link:
 3. Of the rest, a set can only link if 85 % of *all* its shingles occur in other
    sets. For those that are left, the rarest shingles are the keys under which
    pivots find everything within reach.
+   Seen from a key, what comes before and after it bounds what two sets share.
 4. Levels of pivots: in each key with more than one component, the sets with the
    smallest random priority become pivots, eight times as many per level. Every
    other set of the key is compared with them. Sets belong to the Voronoi region
@@ -171,9 +172,13 @@ def _near(docs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def _prefixes(percent: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """(key, sig): the rarest shared shingles of each set that can still link, as many as a link needs."""
+        """(key, sig, n, before, after): the rarest shared shingles of each set that can still link, as many as a link needs.
+
+        ``before`` and ``after`` count the set's shingles that may be in common with
+        another set on either side of the key.
+        """
         known, df = merged(right)
-        out_keys, out_sigs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        out_keys, out = [np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)]
         for c in range(left.num_rows):
             keys, counts, ends = _hits(left.column("shingles")[c].values, known, df)
             for sig, a, b in zip(left.column("sig")[c].values.to_pylist(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
@@ -183,16 +188,20 @@ def _prefixes(percent: int):
                     # Shingles of its own come first in the order; the prefix has n - needed + 1 in all.
                     order = np.lexsort((keys[a:b][common], counts[a:b][common]))
                     mine = keys[a:b][common[order[: len(common) - needed + 1]]]
+                    place = np.arange(len(mine))
                     out_keys.append(mine)
-                    out_sigs.append(np.full(len(mine), sig, np.int64))
-        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_sigs))], names=["key", "sig"])
+                    out.append(np.stack([np.full(len(mine), sig), np.full(len(mine), b - a), place, len(common) - place - 1], axis=1))
+        rest = np.concatenate(out)
+        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), *(pa.array(rest[:, k]) for k in range(4))],
+                                    names=["key", "sig", "n", "before", "after"])
 
     return run
 
 
 def _keys(blocks: DataFrame, percent: int) -> DataFrame:
     answers = shared_keys(blocks, "shingles", _total(blocks, "shingles"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefixes(percent), "key long, sig long").distinct()
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _prefixes(percent), "key long, sig long, n long, before long, after long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,8 +232,12 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         # A rank limit per key, which Spark applies before it shuffles.
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("sig"), "sig"))
-        pivots = written(here.withColumn("rank", rank).where(F.col("rank") <= GROWTH**level).select("key", F.col("sig").alias("p"), F.col("label").alias("p_label")), "pivots")
-        near = here.join(pivots, "key").where("label <> p_label")
+        pivots = written(here.withColumn("rank", rank).where(F.col("rank") <= GROWTH**level).select(
+            "key", F.col("sig").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in ("n", "before", "after")]), "pivots")
+        # What two sets can have in common, seen from a key that both hold, must reach what a link of their sizes needs.
+        near = here.join(pivots, "key").where(
+            (F.col("label") != F.col("p_label")) & (F.col("sig") != F.col("p"))
+            & ((100 + percent) * (F.least("before", "p_before") + 1 + F.least("after", "p_after")) >= percent * (F.col("n") + F.col("p_n"))))
         pairs = near.select(F.greatest("sig", "p").alias("y"), F.least("sig", "p").alias("p")).distinct()
         pairs = written(_window(pairs.join(distances, ["y", "p"], "left_anti"), distances, reach), "pairs")
         found = written(_verified(pairs, sets, percent).withColumn("d", 1 - F.col("i") / F.col("u")), "distances")
@@ -235,7 +248,7 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = written(labels.join(merged.select(F.col("id").alias("label"), "component"), "label", "left").select(
             "sig", F.coalesce("component", "label").alias("label")), "labels")
         distances = distances.unionByName(found.select("y", "p", "d"))
-        keys = here.select("key", "sig").join(pivots.select("key", F.col("p").alias("sig")), ["key", "sig"], "left_anti")
+        keys = here.drop("label").join(pivots.select("key", F.col("p").alias("sig")), ["key", "sig"], "left_anti")
         level += 1
     return labels
 
