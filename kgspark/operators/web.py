@@ -97,8 +97,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 
 def evaluate(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Previewed submissions become evaluated or rejected; ``applied`` is false for other states."""
-    joined = submissions.join(decisions, "rid", "left")
+    """Previewed submissions become evaluated or rejected; ``applied`` is false for other states.
+
+    Of several decisions on one rid, a rejection stands.
+    """
+    joined = submissions.join(decisions.groupBy("rid").agg(F.min("accept").alias("accept")), "rid", "left")
     move = (F.col("status") == "previewed") & F.col("accept").isNotNull()
     status = F.when(move & F.col("accept"), "evaluated").when(move, "rejected").otherwise(F.col("status"))
     return joined.withColumn("applied", move).withColumn("status", status).drop("accept")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +43,8 @@ def read_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     Files are listed and read by the executors; large ones are not split.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    root = folder.rstrip("/") + "/"
+    root = (folder if ":/" in folder else os.path.abspath(folder)).rstrip("/") + "/"
+    root = re.sub("^file:/*", "/", root)
     full = F.regexp_replace(F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))), "^/+", "/")
     return df.select(F.substring_index(full, root, -1).alias("path"), F.decode("content", "UTF-8").alias("content"))
 
