@@ -13,9 +13,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_kept(docs)
 
 
+#: Words of a shingle and least similarity in percent of near-duplicates here; op3 has values of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ all others. The join goes in steps that each keep every link:
 1. Equal sets are one class (a digest of the sorted set); one member stands for it.
 2. Two linked sets share enough of their smallest shingle hashes. Sets with too
    few such hashes in common with any other set are done.
-3. Of the rest, a set can only link if 85 % of *all* its shingles occur in other
-   sets. For those that are left, the rarest shingles are the keys under which
+3. Of the rest, a set can only link if as many of *all* its shingles as a link
+   needs (``percent``) occur in other sets. For those that are left, the rarest shingles are the keys under which
    pivots find everything within reach.
    Seen from a key, what comes before and after it bounds what two sets share.
 4. Levels of pivots: in each key with more than one component, the sets with the
@@ -20,7 +20,7 @@ all others. The join goes in steps that each keep every link:
    not its square.
 
 Defined cases: null text or text without words has no shingles and links with
-nothing. Fewer than four words are one shingle. Rows that repeat a doc_id are
+nothing. Fewer words than ``width`` are one shingle. Rows that repeat a doc_id are
 members of their text's class each. A null doc_id gets its class's component and
 names none unless all ids of the component are null. Further columns are ignored.
 """
@@ -86,31 +86,34 @@ _PROFILE = ("block long, doc_id array<long>, text_key array<long>, n_shingles ar
             "needed array<int>, prefix array<array<long>>")
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block of documents: ids, set sizes and digests, and each set's prefix of smallest hashes."""
-    task, seq, size = TaskContext.get().partitionId(), 0, 0
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    held: list[list] = [[] for _ in kinds]
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([task << 24 | seq], pa.int64()), *(pa.array([h], pa.list_(k)) for h, k in zip(held, kinds))],
-            names=["block", "doc_id", "text_key", "n_shingles", "digest", "sig", "needed", "prefix"])
-
-    for part, texts in text_chunks(batches):
-        for doc_id, key, text, s in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), texts, shingle_sets(texts)):
-            code = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            least = shared_at_least(len(s))
-            row = (doc_id, key, len(s), code and code.hex(), code and int.from_bytes(code[:8], "big", signed=True), 1 + slack(least),
-                   s[: len(s) - least + 1 + slack(len(s))] if len(s) else s)
-            for h, x in zip(held, row):
-                h.append(x)
-            size += len(text or b"")
-        if size >= BLOCK_BYTES:
+def _profiles(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per block of documents: ids, set sizes and digests, and each set's prefix of smallest hashes."""
+        task, seq, size = TaskContext.get().partitionId(), 0, 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        held: list[list] = [[] for _ in kinds]
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task << 24 | seq], pa.int64()), *(pa.array([h], pa.list_(k)) for h, k in zip(held, kinds))],
+                names=["block", "doc_id", "text_key", "n_shingles", "digest", "sig", "needed", "prefix"])
+
+        for part, texts in text_chunks(batches):
+            for doc_id, key, text, s in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), texts, shingle_sets(texts, width)):
+                code = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                least = shared_at_least(len(s), percent)
+                row = (doc_id, key, len(s), code and code.hex(), code and int.from_bytes(code[:8], "big", signed=True), 1 + slack(least),
+                       s[: len(s) - least + 1 + slack(len(s))] if len(s) else s)
+                for h, x in zip(held, row):
+                    h.append(x)
+                size += len(text or b"")
+            if size >= BLOCK_BYTES:
+                yield flush()
+                held, size, seq = [[] for _ in kinds], 0, seq + 1
+        if held[0]:
             yield flush()
-            held, size, seq = [[] for _ in kinds], 0, seq + 1
-    if held[0]:
-        yield flush()
+
+    return run
 
 
 def _hits(lists: pa.Array, known: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,31 +137,34 @@ def _survivors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "text_key", "digest", "sig"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block of sets: their names and shingles."""
-    task, seq = TaskContext.get().partitionId(), 0
-    sigs, sets, size = [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([sigs], pa.list_(pa.int64())), pa.array([sets], pa.list_(pa.list_(pa.int64())))],
-                                          names=["block", "sig", "shingles"])
-
-    for part, texts in text_chunks(batches):
-        sigs += part.column("sig").to_pylist()
-        sets += shingle_sets(texts)
-        size += sum(len(t or b"") for t in texts)
-        if size >= BLOCK_BYTES:
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per block of sets: their names and shingles."""
+        task, seq = TaskContext.get().partitionId(), 0
+        sigs, sets, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([sigs], pa.list_(pa.int64())), pa.array([sets], pa.list_(pa.list_(pa.int64())))],
+                                              names=["block", "sig", "shingles"])
+
+        for part, texts in text_chunks(batches):
+            sigs += part.column("sig").to_pylist()
+            sets += shingle_sets(texts, width)
+            size += sum(len(t or b"") for t in texts)
+            if size >= BLOCK_BYTES:
+                yield flush()
+                sigs, sets, size, seq = [], [], 0, seq + 1
+        if sigs:
             yield flush()
-            sigs, sets, size, seq = [], [], 0, seq + 1
-    if sigs:
-        yield flush()
+
+    return run
 
 
 def _total(blocks: DataFrame, column: str) -> int:
     return blocks.agg(F.sum(F.aggregate(column, F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)))).first()[0] or 0
 
 
-def _near(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, profiles: DataFrame, width: int) -> DataFrame:
     """Blocks of sets (block, sig, shingles) of the classes that may link, after the first filter."""
     answers = shared_keys(profiles, "prefix", _total(profiles, "prefix"))
     asked = profiles.select("block", "doc_id", "text_key", "digest", "sig", "needed", "prefix")
@@ -167,7 +173,7 @@ def _near(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     chosen = near.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("c"))
     chosen = chosen.select("sig", F.col("c.doc_id").alias("chosen_id"), F.col("c.text_key").alias("chosen_key"))
     texts = docs.join(chosen, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_key") == F.col("chosen_key"))).select("sig", "text")
-    return written(texts.mapInArrow(_sets, "block long, sig array<long>, shingles array<array<long>>"), "sets")
+    return written(texts.mapInArrow(_sets(width), "block long, sig array<long>, shingles array<array<long>>"), "sets")
 
 
 def _prefixes(percent: int):
@@ -267,11 +273,11 @@ def _window(pairs: DataFrame, distances: DataFrame, reach: float) -> DataFrame:
     return placed.where(F.col("d_other").isNull() | (F.abs(F.col("d_other") - F.col("d_home")) <= reach)).select("y", "p")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id, one row per input row."""
     docs = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    profiles = written(docs.mapInArrow(_profiles, _PROFILE), "profiles")
-    labels = links(_near(docs, profiles), percent)
+    profiles = written(docs.mapInArrow(_profiles(width, percent), _PROFILE), "profiles")
+    labels = links(_near(docs, profiles, width), percent)
     profiles = profiles.select(F.inline(F.arrays_zip("doc_id", "text_key", "n_shingles", "digest", "sig")))
     classes = profiles.where("n_shingles > 0").groupBy("digest", "sig").agg(F.min("doc_id").alias("smallest"))
     named = written(classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "classes")
@@ -281,9 +287,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (that of the smallest doc_id), and all rows without words."""
-    found = join(docs, percent)
+    found = join(docs, width, percent)
     stays = found.where((F.col("n_shingles") == 0) | same(F.col("doc_id"), F.col("component_id")))
     stays = stays.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"), (F.col("n_shingles") == 0).alias("wordless")).distinct()
     rows = keyed(docs).join(stays, same(F.col("doc_id"), F.col("keep_id")) & (F.col("text_key") == F.col("keep_key")))

@@ -134,6 +134,40 @@ def test_jaccard_keep_one(docs, rows):
     assert len(words) == len({c for (_, n, c), _ in brute_components(rows).items() if n})
 
 
+def test_pipeline_near_duplicates(spark):
+    """The stage against brute force at five words and 0.8; pairs lie on both sides of 0.8 and below 0.85 in four words."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    texts = []
+    for n in (60, 100, 150, 200, 300, 500):
+        for share in (0.85, 0.88, 0.885, 0.89, 0.9, 0.91, 0.93):
+            base = text(rnd, n, 100_000)
+            texts += [base, " ".join(base.split()[: int(n * share)] + text(rnd, n - int(n * share), 100_000).split())]
+    texts += ["a b c d", "a b c d", "a b c", "a b c d e", "", None]
+    order = rnd.sample(range(len(texts)), len(texts))
+    rows = [(i, texts[k], "s") for i, k in enumerate(order)]
+
+    def shingles(t, n):
+        w = tuple((t or "").lower().split())
+        return {w[i : i + n] for i in range(len(w) - n + 1)} or ({w} if w else set())
+
+    def share(a, b, n):
+        x, y = shingles(a, n), shingles(b, n)
+        return len(x & y) / len(x | y) if x | y else 0
+
+    label = list(range(len(rows)))
+    between = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if share(rows[i][1], rows[j][1], 5) >= 0.8:
+            between += share(rows[i][1], rows[j][1], 4) < 0.85
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    assert between >= 5
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, x in enumerate(label) if i == x]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
