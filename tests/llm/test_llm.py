@@ -374,6 +374,18 @@ def test_licenses(spark, rows):
     assert {(r.doc_id, r.block, r.license) for r in got} == want
 
 
+@pytest.mark.parametrize("size", [300, 5000, 20_000])
+def test_licenses_in_long_lines(size):
+    """A line of varied words hides no statement, wherever it stands."""
+    rnd = random.Random(size)
+    for name, template in licenses.TEMPLATES.items():
+        line = [f"{rnd.getrandbits(40):x}" for _ in range(size)]
+        at = rnd.choice([0, size // 2, size, rnd.randint(0, size)])
+        text = " ".join([*line[:at], template, *line[at:]])
+        got = [f for _, own in licenses.blocks(text) for _, f in licenses.inspect(own)]
+        assert [(f.license, f.missing, f.extra) for f in got] == [(name, [], [])]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
