@@ -386,6 +386,18 @@ def test_licenses_in_long_lines(size):
         assert [(f.license, f.missing, f.extra) for f in got] == [(name, [], [])]
 
 
+def test_licenses_together_and_wrapped(spark):
+    t = licenses.TEMPLATES
+    three = f"{t['MIT']} {t['Apache-2.0']} {t['GPL-3.0']}"
+    wrapped = "intro\n" + t["GPL-3.0"].replace("Public License", "Public\n# License") + "\n\nThis work is licensed\n\nunder the GNU General Public License, version 2."
+    rows = [(1, three), (2, "\n".join(t.values())), (3, wrapped), (4, f"{t['MIT']} {t['MIT']}"), (5, t["LGPL-3.0"]), (6, " ".join(f"{x} and" for x in t.values()))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = lambda d: sorted((r.block, r.license) for r in got if r.doc_id == d)
+    assert of(1) == [(0, "Apache-2.0"), (0, "GPL-3.0"), (0, "MIT")]
+    assert of(2) == sorted((i, n) for i, n in enumerate(t)) and of(6) == sorted((0, n) for n in t)
+    assert of(3) == [(1, "GPL-3.0")] and of(4) == [(0, "MIT")] * 2 and of(5) == [(0, "LGPL-3.0")]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
