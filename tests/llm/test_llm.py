@@ -398,6 +398,30 @@ def test_licenses_together_and_wrapped(spark):
     assert of(3) == [(1, "GPL-3.0")] and of(4) == [(0, "MIT")] * 2 and of(5) == [(0, "LGPL-3.0")]
 
 
+def test_licenses_against_lines_of_documents(spark):
+    """An independent list: every line that names a license or a reservation, read from the documents by SQL."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    named = {"gnu general public license, version 3": "GPL-3.0", "rights reserved": "ALL-RIGHTS", "cc by-nc 4.0": "CC-BY-NC-4.0", "the mit license": "MIT", "apache license, version 2.0": "Apache-2.0"}
+    lines = duckdb.sql(f"SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM '{path}')")
+    want = {(d, i, n) for d, i, line in lines.filter("regexp_matches(lower(line), 'licen[sc]|rights reserved|copyright')").fetchall() for k, n in named.items() if k in line.lower()}
+    got = {(r.doc_id, r.block, r.license) for r in licenses.scan(spark.read.parquet(path)).collect()}
+    assert got == want and sum(n == "ALL-RIGHTS" for _, _, n in want) >= 5
+
+
+@pytest.mark.parametrize("text, names", [
+    ("All rights reserved.", ["ALL-RIGHTS"]), ("Copyright 2020 Some Body. All rights reserved.", ["ALL-RIGHTS"]), ("Seats were reserved, all of them.", []),
+    ("Distributed under the MIT License.", ["MIT"]), ("Released under the BSD License.", []), ("You may use it under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 */", ["MIT", "Apache-2.0", "GPL-2.0-or-later", "Classpath-exception-2.0"]),
+    ("# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, "
+     "including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n"
+     "# furnished to do so, subject to the following conditions:", ["MIT"]),
+    ("Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.", ["BSD"]),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", ["Apache-2.0"]),
+])
+def test_license_wordings(text, names):
+    assert [f.license for _, f in licenses.findings(text)] == names
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
