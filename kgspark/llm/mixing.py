@@ -3,9 +3,12 @@
 1. A classifier learns the domains of a labelled table from a bounded sample of
    labelled documents (``SAMPLE_ROWS``, by hash of doc_id), copies of a text counting
    once. A word speaks for a domain if most of the documents that hold it are of
-   that domain. A document's cell is how many such words it has for each domain
-   (``MOST`` at most); the domains' shares in the cell, smoothed, are its posterior.
-2. Every document gets its posterior from all its words.
+   that domain. In the texts of each domain, the number of such words given the
+   text's tokens is negative binomial: a mean rate, and how much texts differ from it.
+   A share of a domain's texts is silent: they have no such words beyond those of the
+   commonest domain.
+2. Every document gets its posterior from all its words, as log odds of how many
+   speak for each domain among its tokens: three in 20,000 say less than three in 50.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match the targets in least squares. Each step is
    one aggregate over all documents (as many sums as domains) and one projected
@@ -26,6 +29,8 @@ the documents are kept by ``mix``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +39,10 @@ from kgspark.llm.batches import keyed, same, written
 
 #: Labelled documents that the classifier learns from, about so many at most.
 SAMPLE_ROWS = 20_000
-#: Share of a word's documents (and how many) that make it speak; words counted per domain; weight of the prior in a cell.
-PRECISION, SUPPORT, MOST, SMOOTHING = 0.8, 10, 3, 1.0
+#: Share of a word's documents (and how many) that make it speak; tokens at the overall rate that each domain's rate starts from.
+PRECISION, SUPPORT, SMOOTHING = 0.8, 10, 100.0
+#: Least and most shape of a domain's rates: the smaller, the more its texts differ.
+SHAPES = (0.05, 1000.0)
 STEPS, TOLERANCE, SLACK = 20, 1e-6, 0.1
 #: Domains as conditions on the labels; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
@@ -48,17 +55,29 @@ def word_list() -> Column:
     return F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9#*$%&|<>-􏿿]+")
 
 
-def _cells(rows: DataFrame, speakers: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """``keep``, tokens and cell of each row's text; ``rows`` has one line per word."""
+def _counts(rows: DataFrame, speakers: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """``keep``, tokens and ``n<k>``, the words that speak for domain k, of each row's text; ``rows`` has one line per word."""
     # The sample bounds the speakers, so they may be broadcast.
-    counts = rows.join(F.broadcast(speakers), "word", "left").groupBy(*keep).agg(
+    return rows.join(F.broadcast(speakers), "word", "left").groupBy(*keep).agg(
         F.count_if(F.col("word") != "").alias("tokens"), *[F.count_if(F.col("speaks") == k).alias(f"n{k}") for k in range(n)])
-    cell = sum((F.least(F.col(f"n{k}"), F.lit(MOST)) * (MOST + 1) ** k for k in range(n)), F.lit(0))
-    return counts.select(*keep, "tokens", cell.cast("int").alias("cell"))
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, list[float]], list[float]]:
-    """(speakers, posterior of each cell, prior): speakers has word and the number of the domain it speaks for."""
+def _law(n: float, t: float, nn: float, nt: float, tt: float, overall: float) -> tuple[float, float]:
+    """(shape, tokens) of the gamma law of a domain's rates, by moments of its texts' counts n and tokens t."""
+    mean = (n + SMOOTHING * overall) / (t + SMOOTHING)
+    spread = nn - 2 * mean * nt + mean * mean * tt - mean * t
+    shape = min(max(mean * mean * tt / spread, SHAPES[0]), SHAPES[1]) if spread > 0 else SHAPES[1]
+    return shape, shape / mean
+
+
+def _lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x > 0 (Stirling from x + 4)."""
+    y = x + 4
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.ln(x * (x + 1) * (x + 2) * (x + 3))
+
+
+def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, tuple[list[list[tuple[float, float]]], list[float], int], list[float]]:
+    """(speakers, (law of each domain's rate of words for each domain, share of its silent texts, commonest domain), prior): speakers has word and the number of the domain it speaks for."""
     ks = range(len(domains))
     kind = F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in enumerate(domains.values())])
     labels = labels.select("doc_id", kind.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -69,6 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     per_domain = [F.count_if(F.col("domain") == k).alias(f"c{k}") for k in ks]
     words = written(rows.select("text_key", "domain", F.explode(word_list()).alias("word")), "sample")
     sums = words.groupBy("text_key").agg(F.min("domain").alias("domain")).agg(*per_domain).first()
+    total = list(sums)
     prior = [(s + 1.0) / (sum(sums) + len(sums)) for s in sums]
     most = max(ks, key=lambda k: prior[k])
     counts = words.where("word <> ''").groupBy("text_key", "word").agg(F.min("domain").alias("domain")).groupBy("word").agg(*per_domain)
@@ -76,26 +96,41 @@ def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     # The commonest domain needs no words of its own: it is what is left.
     speaks = F.coalesce(*[F.when(F.col(f"c{k}") >= PRECISION * every, F.lit(k)) for k in ks if k != most], F.lit(None))
     speakers = written(counts.where(every >= SUPPORT).select("word", speaks.alias("speaks")).where("speaks is not null"), "speakers")
-    cells = _cells(words, speakers, ["text_key", "domain"], len(domains)).groupBy("cell").agg(*per_domain).collect()
-    table = {}
-    for r in cells:  # (MOST + 1) ** domains at most
-        n = [r[f"c{k}"] for k in ks]
-        table[r["cell"]] = [(n[k] + SMOOTHING * prior[k]) / (sum(n) + SMOOTHING) for k in ks]
-    return speakers, table, prior
-
-
-def posteriors(docs: DataFrame, speakers: DataFrame, table: dict[int, list[float]], prior: list[float]) -> DataFrame:
+    counts = _counts(words, speakers, ["text_key", "domain"], len(domains))
+    t, n = F.col("tokens"), [F.col(f"n{k}") for k in ks]
+    parts = [x for k in ks for x in (n[k], n[k] * n[k], n[k] * t)]
+    speaking = [(F.col("domain") == d) & (n[d] > 0 if d != most else F.lit(True)) for d in ks]
+    sums = [F.coalesce(F.sum(F.when(speaking[d], x)), F.lit(0)) for d in ks for x in (t, t * t, F.lit(1), *parts)]
+    found = np.array(counts.agg(*sums).first(), float).reshape(len(domains), -1)
+    overall = [(found[:, 3 + 3 * k].sum() + 0.5) / (found[:, 0].sum() + 1) for k in ks]
+    laws = [[_law(row[3 + 3 * k], row[0], row[4 + 3 * k], row[5 + 3 * k], row[1], overall[k]) for k in ks] for row in found.tolist()]
+    silent = [1.0 if d == most else (total[d] - row[2] + 0.5) / (total[d] + 1) for d, row in enumerate(found.tolist())]
+    return speakers, (laws, silent, most), prior
+
+
+def posteriors(docs: DataFrame, speakers: DataFrame, fitted: tuple[list[list[tuple[float, float]]], list[float], int], prior: list[float]) -> DataFrame:
     """doc_id, text_key, tokens and ``p`` (a number per domain), one row per input row."""
+    laws, silent, most = fitted
     keep = ["row", "doc_id", "text_key"]
     # The row number is set before words multiply the rows.
     rows = keyed(docs).withColumn("row", F.monotonically_increasing_id()).select(*keep, F.explode(word_list()).alias("word"))
-    found = _cells(rows, speakers, keep, len(prior))
-    known = F.create_map(*[F.lit(x) for c, p in (table or {-1: prior}).items() for x in (c, F.array(*[F.lit(float(v)) for v in p]))])
-    # A cell that the sample did not meet speaks for its domains alike.
-    met = [F.floor(F.col("cell") / (MOST + 1) ** k) % (MOST + 1) for k in range(len(prior))]
-    weight = [m + F.lit(p) for m, p in zip(met, prior)]
-    fallback = F.array(*[w / sum(weight[1:], weight[0]) for w in weight])
-    return found.select("doc_id", "text_key", "tokens", F.coalesce(known[F.col("cell")], fallback).alias("p"))
+    found = _counts(rows, speakers, keep, len(prior))
+
+    def score(d: int) -> Column:
+        out = F.lit(0.0)
+        for k, (a, b) in enumerate(laws[d]):
+            n = F.col(f"n{k}").cast("double")
+            # What does not depend on d is left out.
+            out = out + _lgamma(n + a) - (n + a) * F.ln(F.col("tokens") + b) + (a * math.log(b) - math.lgamma(a))
+        return out
+
+    ds = range(len(prior))
+    scored = found.select("doc_id", "text_key", "tokens", *[score(d).alias(f"s{d}") for d in ds])
+    top = F.greatest(*[F.col(f"s{d}") for d in ds])
+    scored = scored.select("doc_id", "text_key", "tokens", *[F.exp(F.col(f"s{d}") - top).alias(f"e{d}") for d in ds])
+    shares = [prior[d] * (silent[d] * F.col(f"e{most}") + (1 - silent[d]) * F.col(f"e{d}")) for d in ds]
+    total = sum(shares[1:], shares[0])
+    return scored.select("doc_id", "text_key", "tokens", F.array(*[x / total for x in shares]).alias("p"))
 
 
 def fit(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:

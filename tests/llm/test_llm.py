@@ -301,6 +301,22 @@ def test_mixing(spark):
     assert all(r.copies == 1 for r in mixing.rates(docs, table.limit(0)).where("tokens = 0").collect())
 
 
+def test_mixing_long_documents(spark):
+    """Evidence counts against a text's length: a few words in a long clean text are no short toxic one."""
+    rnd = random.Random(8)
+    rows = [(i, text(rnd, 40) + {7: " idiot moron scum idiot", 8: " of%%% the&&& %%% |"}.get(i % 10, "")) for i in range(600)]
+    labels = [(i, int(i % 10 != 8), int(i % 10 == 7)) for i in range(600)]
+    clean, toxic = text(rnd, 20_000).split(), text(rnd, 20_000).split()
+    for k, w in enumerate(["idiot", "moron", "scum"]):
+        clean[k * 5000 + 7] = w
+    for k in range(0, 20_000, 12):
+        toxic[k] = ("idiot", "moron", "scum")[k % 3]
+    rows += [(1000, " ".join(clean)), (1001, " ".join(toxic)), (1002, text(rnd, 37) + " idiot moron scum")]
+    got = {r.doc_id: r for r in mixing.rates(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[1000].p_toxic < 0.1 and got[1000].copies == 1
+    assert all(got[d].p_toxic > 0.9 and got[d].copies == 0 for d in (1001, 1002, 7))
+
+
 def test_tokens(docs, rows, spark):
     from tokenizers import Tokenizer
 
