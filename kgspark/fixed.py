@@ -234,6 +234,8 @@ GLOBAL_RATE_PER_HOUR = 20
 SPARSE_PAGE_WORDS = 50
 CONFIDENCE_EPSILON = 0.001
 MAX_PEER_FAILURES = 3
+BACKOFF_BASE_SECONDS = 30.0
+BACKOFF_MAX_SECONDS = 600.0
 
 # Chunk sizes in words.
 CHUNK_SIZE = 500

@@ -235,7 +235,7 @@ def repo_name(url: Column) -> Column:
 
 
 def backoff_seconds(failures: Column) -> Column:
-    return F.least(F.lit(30.0) * F.pow(F.lit(2.0), failures - 1), F.lit(600.0))
+    return F.least(F.lit(fixed.BACKOFF_BASE_SECONDS) * F.pow(F.lit(2.0), failures - 1), F.lit(fixed.BACKOFF_MAX_SECONDS))
 
 
 def confidence_changed(old: Column, new: Column) -> Column:

@@ -68,67 +68,13 @@ def fold_failures(outcomes: DataFrame, old: DataFrame) -> DataFrame:
     return out.withColumn("wait_seconds", wait).withColumn("skipped", F.col("failures") > fixed.MAX_PEER_FAILURES)
 
 
-def track_failures(outcomes: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Failure state of every peer, one version per micro-batch."""
-    schema = "peer string, failures int, wait_seconds double, skipped boolean"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{state_path}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        fold_failures(batch, old).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
-
-    return outcomes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_version(spark: SparkSession, state_path: str) -> DataFrame:
-    """The newest version of a state table (its number is read from the folder names)."""
-    last = spark.read.parquet(state_path).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{state_path}/v={last}")
-
-
 def to_table(stream: DataFrame, path: str, checkpoint: str, seconds: Optional[int] = None) -> StreamingQuery:
     """Appends a stream to a Parquet table; without ``seconds`` it drains what is there and stops."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
+    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds is not None else writer.trigger(availableNow=True)
     return writer.start(path)
 
 
-def fold_batches(events: DataFrame, state_path: str, registry: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Keeps the cross-reference table up to date from an event stream.
-
-    Each micro-batch reads the version written by the one before it and writes
-    a new one named by its batch id, so a batch that is run again after a
-    failure overwrites its own output and nothing is applied twice.
-    """
-    from kgspark.operators import events as E
-
-    schema = "rid string, source_node string, local_uri string, relationship string, confidence double"
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{state_path}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        resolved = E.resolution_rows(E.parse_contents(batch), registry)
-        E.fold_cross_refs(resolved, old).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
-
-    return (
-        events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def deliver_batches(events: DataFrame, node: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Delivers each micro-batch to a node and records the deliveries with it.
-
-    Output and deliveries of a batch live under its id; a repeated batch
-    replaces both, which makes delivery effectively once.
-    """
-
-    def deliver(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("*", F.lit(node).alias("node"))
-        rows.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    return events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Runs a stream over what is available and returns the table it wrote."""
     spark = stream.sparkSession

@@ -83,19 +83,6 @@ def test_cross_reference_fold_equals_one_by_one(spark):
     assert {"inserted", "deleted"} <= actions
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    reg = spark.createDataFrame([("u:ann", "Ann", "Person", "ann", [])], "uri string, entity_text string, entity_type string, normalized_text string, aliases array<string>")
-    name = lambda n: f'{{"@type":"bkc:Person","name":"{n}"}}'
-    rows = [event(1, contents=name("Zed")), event(2, contents=name("Ann")), event(3, kind="UPDATE", contents=name("Zed")), event(4, rid="r2", contents=name("Ann")), event(5, kind="FORGET", rid="r2")]
-    for i, r in enumerate(rows):
-        frame(spark, [r]).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = Q.read_files(spark, f"{tmp_path}/in/*", frame(spark, rows).schema, files_per_trigger=2)
-    Q.fold_batches(stream, f"{tmp_path}/state", reg, f"{tmp_path}/cp").awaitTermination()
-    got = {tuple(r) for r in Q.latest_version(spark, f"{tmp_path}/state").select("rid", "local_uri").collect()}
-    want = E.fold_cross_refs(E.resolution_rows(E.parse_contents(frame(spark, rows)), reg))
-    assert got == {tuple(r) for r in want.select("rid", "local_uri").collect()} == {("orn:koi-net.practice:a+1", "unresolved:Person:Zed")}
-
-
 def test_failure_counts(spark):
     old = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], "peer string, failures int")
     out = spark.createDataFrame([("a", "1", False), ("a", "2", False), ("b", "1", True), ("b", "2", False), ("d", "1", True)], "peer string, at string, ok boolean")
