@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark import fixed
+from kgspark.operators import admission as A
 from kgspark.operators import events as E
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
@@ -167,3 +168,18 @@ def poll_authorised(spark, sf):
         "*", F.when(F.col("target_node").endswith("peer1"), F.array(F.lit("Person"))).otherwise(F.array().cast("array<string>")).alias("rid_types"),
         F.when(F.col("target_node").endswith("peer0"), "PROPOSED").otherwise("APPROVED").alias("status"))
     return E.authorised(pairs, edges, strict=True).select("target_node", "source_node", F.coalesce(F.array_join("rid_types", ","), F.lit("")).alias("rid_types"))
+
+
+@query("rate_limited_admission", """
+WITH RECURSIVE s AS (SELECT event_id, 'user' || (user_id % 5) AS u, epoch_us(ts) // 12000000 AS sec, row_number() OVER (ORDER BY epoch_us(ts) // 12, event_id) AS n FROM events),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, CAST('' AS VARCHAR) AS verdict, CAST([] AS STRUCT(s BIGINT, u VARCHAR)[]) AS acc
+ UNION ALL
+ SELECT n, event_id, verdict, CASE WHEN verdict = 'ok' THEN list_append(live, {'s': sec, 'u': u}) ELSE live END FROM
+ (SELECT *, CASE WHEN len(live) >= 20 THEN 'global' WHEN len(list_filter(live, lambda x: x.u = u)) >= 5 THEN 'user' ELSE 'ok' END AS verdict FROM
+  (SELECT s.n, s.event_id, s.sec, s.u, list_filter(walk.acc, lambda x: x.s > s.sec - 3600) AS live FROM walk JOIN s ON s.n = walk.n + 1)))
+SELECT event_id, verdict FROM walk WHERE n > 0""")
+def rate_limited_admission(spark, sf):
+    # The table's times run twelve times as fast, so that both limits are met.
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 12))
+    rows = T.table(spark, sf, "events").select("event_id", F.concat(F.lit("user"), F.pmod(F.col("user_id"), F.lit(5)).cast("string")).alias("submitted_by"), at.alias("created_at"))
+    return A.admit(rows, "submitted_by", "created_at", "event_id").select("event_id", "verdict")
