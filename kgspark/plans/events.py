@@ -171,7 +171,7 @@ def poll_authorised(spark, sf):
 
 
 @query("rate_limited_admission", """
-WITH RECURSIVE s AS (SELECT event_id, 'user' || (user_id % 5) AS u, epoch_us(ts) // 12000000 AS sec, row_number() OVER (ORDER BY epoch_us(ts) // 12, event_id) AS n FROM events),
+WITH RECURSIVE s AS MATERIALIZED (SELECT event_id, 'user' || (user_id % 5) AS u, epoch_us(ts) // 12000000 AS sec, row_number() OVER (ORDER BY epoch_us(ts) // 12, event_id) AS n FROM events),
 walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, CAST('' AS VARCHAR) AS verdict, CAST([] AS STRUCT(s BIGINT, u VARCHAR)[]) AS acc
  UNION ALL
  SELECT n, event_id, verdict, CASE WHEN verdict = 'ok' THEN list_append(live, {'s': sec, 'u': u}) ELSE live END FROM

@@ -10,6 +10,7 @@ from kgspark.functions.phonetic import phonetic_code
 from kgspark.operators import extraction as P
 from kgspark.operators import federation as N
 from kgspark.operators import resolve as R
+from kgspark.operators import sequential as Q
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
 from kgspark.sources import tables as T
@@ -64,6 +65,48 @@ def ingest_links(spark, sf):
     return P.ingest(own.unionByName(lodge), T.entity_registry(spark, sf, ["Person", "Organization"]), links)[2]
 
 
+_OVERLAP = """(len(string_split({a},' ')) = 1 OR len(string_split({b},' ')) = 1
+  OR (len(list_intersect(list_distinct(string_split({a},' ')), list_distinct(string_split({b},' ')))) >= 2
+   AND len(list_intersect(list_distinct(string_split({a},' ')), list_distinct(string_split({b},' '))))
+    >= 0.5 * least(len(list_distinct(string_split({a},' '))), len(list_distinct(string_split({b},' '))))))"""
+_FITS = "{x}.entity_type IS NULL OR {x}.entity_type = {y}"
+_BATCH_NUMBER = "CAST(split_part(mention_id, '-', 2) AS BIGINT) * 4 + CASE split_part(mention_id, '-', 1) WHEN 'part' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END"
+
+
+@query("ingest_sequential", M.with_(M.REGISTRY, M.MENTIONS, f"""
+known AS MATERIALIZED (SELECT * FROM registry WHERE entity_type IN ('Person', 'Location')),
+keyed AS MATERIALIZED (SELECT mention_id, name, entity_type, {M.norm('name')} AS norm, {M.alias('name')} AS alias, {_BATCH_NUMBER} AS number FROM mentions),
+ks AS MATERIALIZED (SELECT *, coalesce(entity_type, 'Concept') AS kind, {M.uri('name', "coalesce(entity_type, 'Concept')")} AS made
+ FROM (SELECT norm, alias, entity_type, min(number) AS number, min_by(name, number) AS name FROM keyed GROUP BY ALL)),
+surf AS MATERIALIZED (SELECT number, max(strength) AS strength, min_by(uri, {{'a': -strength, 'b': uri}}) AS uri FROM (
+ SELECT k.number, 3e0 AS strength, r.uri FROM ks k JOIN known r ON r.normalized_text = k.norm AND ({_FITS.format(x='k', y='r.entity_type')})
+ UNION ALL SELECT k.number, 2e0, r.uri FROM ks k JOIN (SELECT uri, entity_type, lower(unnest(aliases)) AS form FROM known) r ON r.form = k.alias AND ({_FITS.format(x='k', y='r.entity_type')})) GROUP BY 1),
+unmet AS MATERIALIZED (SELECT * FROM ks WHERE number NOT IN (SELECT number FROM surf)),
+pairs AS MATERIALIZED (SELECT DISTINCT o.norm AS a, r.normalized_text AS b FROM unmet o JOIN known r ON {_FITS.format(x='o', y='r.entity_type')}
+ UNION SELECT o.norm, k.norm FROM unmet o JOIN unmet k ON {_FITS.format(x='o', y='k.kind')}),
+{M.jaro_winkler('pairs')},
+near AS MATERIALIZED (SELECT o.number, jw.b, jw.score FROM unmet o JOIN jw ON jw.a = o.norm WHERE jw.score >= CASE o.entity_type WHEN 'Person' THEN 0.92 WHEN 'Organization' THEN 0.85 WHEN 'Location' THEN 0.9 WHEN 'Concept' THEN 0.75 ELSE 0.9 END
+ AND (o.entity_type IN ('Person', 'Concept') OR {_OVERLAP.format(a='jw.a', b='jw.b')})),
+stored AS MATERIALIZED (SELECT * FROM surf UNION ALL SELECT o.number, max(n.score), min_by(r.uri, {{'a': -n.score, 'b': r.uri}}) FROM unmet o JOIN near n USING (number) JOIN known r ON r.normalized_text = n.b AND ({_FITS.format(x='o', y='r.entity_type')}) GROUP BY 1),
+cand AS MATERIALIZED (SELECT * FROM ks WHERE number NOT IN (SELECT number FROM stored)),
+met AS MATERIALIZED (SELECT k.number, c.number AS other, 3e0 AS strength FROM ks k JOIN cand c ON c.norm = k.norm AND ({_FITS.format(x='k', y='c.kind')})
+ UNION ALL SELECT o.number, c.number, n.score FROM unmet o JOIN near n USING (number) JOIN cand c ON c.norm = n.b AND c.norm <> o.norm AND ({_FITS.format(x='o', y='c.kind')})),
+turn AS MATERIALIZED (SELECT number, row_number() OVER (ORDER BY number) AS rn, (SELECT list(other) FROM met WHERE met.number = cand.number AND other < cand.number) AS before FROM cand),
+walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS heads UNION ALL
+ SELECT t.rn, CASE WHEN list_has_any(heads, coalesce(before, CAST([] AS BIGINT[]))) THEN heads ELSE list_append(heads, t.number) END FROM walk JOIN turn t ON t.rn = walk.rn + 1),
+heads AS MATERIALIZED (SELECT unnest(heads) AS number FROM (SELECT heads FROM walk ORDER BY rn DESC LIMIT 1)),
+seen AS MATERIALIZED (SELECT number, CAST(-1 AS BIGINT) AS since, strength, uri FROM stored UNION ALL SELECT m.number, m.other, m.strength, c.made FROM met m JOIN heads h ON h.number = m.other JOIN cand c ON c.number = m.other)""", recursive=True) + """
+SELECT m.mention_id, coalesce(min_by(s.uri, {'a': -s.strength, 'b': s.uri}), any_value(k.made)) AS uri, count(s.uri) = 0 AS is_new, round(CASE WHEN count(s.uri) = 0 THEN 9e-1 ELSE least(max(s.strength), 1e0) END, 6) AS confidence
+FROM keyed m JOIN ks k ON k.norm = m.norm AND k.alias = m.alias AND k.entity_type IS NOT DISTINCT FROM m.entity_type LEFT JOIN seen s ON s.number = k.number AND s.since < m.number GROUP BY 1""")
+def ingest_sequential(spark, sf):
+    part = F.split("mention_id", "-")
+    place = F.when(part[0] == "part", 0).when(part[0] == "nation", 1).when(part[0] == "customer", 2).otherwise(3)
+    batch = T.mentions(spark, sf).withColumn("document_rid", F.lit("batch")).withColumn("number", part[1].cast("bigint") * 4 + place)
+    links = spark.createDataFrame([], "document_rid string, entity_uri string, mention_count long")
+    done = Q.ingest_in_order(batch, T.entity_registry(spark, sf, ["Person", "Location"]), links, "number")[0]
+    return done.select("mention_id", "uri", "is_new", "confidence")
+
+
 @query("enrich_match", """
 SELECT 'org:' || s_suppkey AS uri, CASE WHEN s_suppkey % 2 = 0 THEN 100.0 ELSE round(200.0 * 17 / (18 + 17), 6) END AS ratio, 'Supplier in ' || n_name AS description
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
