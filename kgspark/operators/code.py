@@ -191,26 +191,6 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
     return good.withColumn("edge_id", edge_id(F.col("from_id"), F.col("edge_type"), F.col("to_id"))), looked.filter(~ok).select(*cols)
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 10) -> DataFrame:
-    """(start_id, node_id, hops): nodes reachable within ``max_hops``, at their least distance.
-
-    Each round joins only the new frontier; rounds are written to the shared
-    folder so the plan does not grow with the depth.
-    """
-    from kgspark.session import cut_lineage
-
-    step = edges.select(F.col("from_id").alias("node_id"), F.col("to_id").alias("next_id")).distinct()
-    frontier = start.select(F.col("entity_id").alias("start_id"), F.col("entity_id").alias("node_id")).distinct().withColumn("hops", F.lit(0))
-    seen = frontier
-    for hop in range(1, max_hops + 1):
-        found = frontier.join(step, "node_id").select("start_id", F.col("next_id").alias("node_id")).distinct().withColumn("hops", F.lit(hop))
-        frontier = cut_lineage(found.join(seen, ["start_id", "node_id"], "left_anti"), "reach")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def sweep(stored: DataFrame, scanned: DataFrame, unchanged: DataFrame, run_id: str) -> DataFrame:
     """Nodes after a scan: those of this run, those of unchanged files, and other repositories'.
 

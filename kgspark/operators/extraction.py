@@ -82,6 +82,29 @@ def ingest(mentions: DataFrame, registry: DataFrame, links: DataFrame) -> tuple[
     return done, new, after
 
 
+def relations_to_edges(found: DataFrame, named: DataFrame, group: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of extracted relations, and pending rows for those with one unknown side.
+
+    ``found`` is (group, subject, predicate, object, confidence) and ``named``
+    (group, name, uri, order): the entities of the same extraction, the last of
+    which holds a name (lower-cased, without outer spaces). A relation without
+    a known side, or of an entity with itself, gives neither. Of repeated
+    edges the one of the greatest confidence stays.
+    """
+    key = lambda c: F.lower(X.strip(F.col(c)))
+    names = named.groupBy(F.col(group), key("name").alias("key")).agg(F.max_by("uri", order).alias("uri"))
+    side = lambda s: names.select(group, F.col("key").alias(f"{s}_key"), F.col("uri").alias(f"{s}_uri"))
+    keyed = found.withColumns({"subject_key": key("subject"), "object_key": key("object")})
+    both = keyed.join(side("subject"), [group, "subject_key"], "left").join(side("object"), [group, "object_key"], "left")
+    edges = both.filter("subject_uri <> object_uri").groupBy("subject_uri", "predicate", "object_uri").agg(
+        F.max("confidence").alias("confidence"), F.max_by(group, F.struct("confidence", group)).alias("source_rid"))
+    unknown = F.when(F.col("subject_uri").isNull(), "subject").otherwise("object")
+    pending = both.filter("(subject_uri IS NULL) <> (object_uri IS NULL)").select(
+        group, "subject_uri", "predicate", "object_uri", unknown.alias("unknown_side"),
+        F.when(unknown == "subject", F.col("subject")).otherwise(F.col("object")).alias("raw_unknown_label"), "confidence").distinct()
+    return edges, pending
+
+
 def match_descriptions(wanted: DataFrame, found: DataFrame, source: str, least: float = 80.0) -> DataFrame:
     """Description of each wanted entity from its source's extraction: exact name, else the closest.
 

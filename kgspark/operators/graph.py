@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kgspark import fixed
 from kgspark.functions import text as X
+from kgspark.session import cut_lineage
 
 
 def matching(df: DataFrame, conditions: Sequence[Optional[Column]]) -> DataFrame:
@@ -24,6 +25,16 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page and the number of all rows, from one pass: the rows are counted on their way into the sort.
+
+    The page is written, which runs the pass; at most ``limit`` rows are.
+    """
+    seen = Observation("page")
+    rows = cut_lineage(page(df.observe(seen, F.count(F.lit(1)).alias("total")), order, limit, offset), "page")
+    return rows, seen.get["total"]
+
+
 def page_with_flag(df: DataFrame, order: Sequence[Column], limit: int) -> tuple[DataFrame, DataFrame]:
     """A page, and a one-row frame saying whether rows were left out.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
 from kgspark.operators import graph as G
+from kgspark.operators import traversal as V
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
 from kgspark.sources import tables as T
@@ -19,6 +20,27 @@ def entity_list_page(spark, sf):
     return G.page(people, [F.desc("source_key"), F.col("uri")], 50, 25).select("uri", "entity_text", "source_key")
 
 
+@query("entity_count_page", M.with_(M.REGISTRY) + """
+SELECT uri, entity_text, source_key, (SELECT count(*) FROM registry WHERE entity_type = 'Person') AS total FROM registry WHERE entity_type = 'Person'
+ORDER BY source_key DESC, uri LIMIT 50 OFFSET 25""")
+def entity_count_page(spark, sf):
+    people = T.entity_registry(spark, sf, ["Person"])
+    rows, total = G.page_with_total(people, [F.desc("source_key"), F.col("uri")], 50, 25)
+    return rows.select("uri", "entity_text", "source_key", F.lit(total).cast("bigint").alias("total"))
+
+
+@query("graph_motif", M.with_(M.EDGES) + """
+SELECT DISTINCT a.subject_uri AS person, a.object_uri AS org, p.object_uri AS place, b.object_uri AS region FROM edges a
+JOIN edges p ON p.predicate = 'located_in' AND p.subject_uri = a.subject_uri
+JOIN edges o ON o.predicate = 'located_in' AND o.subject_uri = a.object_uri AND o.object_uri = p.object_uri
+JOIN edges b ON b.predicate = 'broader' AND b.subject_uri = p.object_uri
+WHERE a.predicate = 'affiliated_with'""")
+def graph_motif(spark, sf):
+    """People and the organizations they belong to in one place, and the place's region."""
+    pattern = [("person", "affiliated_with", "org"), ("person", "located_in", "place"), ("org", "located_in", "place"), ("place", "broader", "region")]
+    return V.motif(T.relationships(spark, sf), pattern)
+
+
 @query("entity_lookup", M.with_(M.REGISTRY) + f"""
 SELECT uri, entity_text, entity_type, normalized_text, source_key FROM registry
 WHERE uri = {M.uri("'Customer#000000007'", "'Person'")}""")

@@ -49,6 +49,27 @@ def extracted_relations(spark, sf):
     return P.relations(_extracted(spark, sf), ["s_suppkey"])
 
 
+@query("relation_edges", f"""
+WITH rel AS (SELECT s_suppkey, s_name AS subject, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+named AS (SELECT s_suppkey, lower(trim(name)) AS k, uri FROM (
+ SELECT s_suppkey, ' ' || upper(s_name) AS name, 'first:' || s_suppkey AS uri, 0 AS n FROM supplier
+ UNION ALL SELECT s_suppkey, s_name, {M.uri('s_name', "'Organization'")}, 1 FROM supplier
+ UNION ALL SELECT s_suppkey, n_name, {M.uri('n_name', "'Location'")}, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0)
+ QUALIFY row_number() OVER (PARTITION BY s_suppkey, lower(trim(name)) ORDER BY n DESC) = 1)
+SELECT s.uri AS subject_uri, 'located_in' AS predicate, o.uri AS object_uri, CASE WHEN o.uri IS NULL THEN r.object END AS raw_unknown_label
+FROM rel r JOIN named s ON s.s_suppkey = r.s_suppkey AND s.k = lower(r.subject) LEFT JOIN named o ON o.s_suppkey = r.s_suppkey AND o.k = lower(r.object)""")
+def relation_edges(spark, sf):
+    """Each supplier is named twice (the later name holds); a third of the places were not extracted."""
+    sup = T.table(spark, sf, "supplier").join(T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    name = lambda text, uri, n: F.struct(text.alias("name"), uri.alias("uri"), F.lit(n).alias("n"))
+    entities = [name(F.concat(F.lit(" "), F.upper("s_name")), F.concat(F.lit("first:"), F.col("s_suppkey").cast("string")), 0), name(F.col("s_name"), T.org_uri(), 1)]
+    place = F.when(F.pmod("s_suppkey", F.lit(3)) > 0, F.array(name(F.col("n_name"), T.nation_uri(), 2)))
+    named = sup.select("s_suppkey", F.explode(F.concat(F.array(*entities), F.coalesce(place, F.array()))).alias("e")).select("s_suppkey", "e.*")
+    edges, pending = P.relations_to_edges(P.relations(_extracted(spark, sf), ["s_suppkey"]), named, "s_suppkey", "n")
+    return edges.select("subject_uri", "predicate", "object_uri", F.lit(None).cast("string").alias("raw_unknown_label")).unionByName(
+        pending.select("subject_uri", "predicate", "object_uri", "raw_unknown_label"))
+
+
 @query("ingest_links", M.with_(M.REGISTRY, M.LINKS, f"""
 m AS (SELECT {M._ORDER_NOTE} AS document_rid, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey),
 b AS (SELECT document_rid, {M.uri('name', "'Person'")} AS entity_uri, count(*) AS n FROM m GROUP BY ALL
