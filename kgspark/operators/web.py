@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark import fixed
 from kgspark.functions import text as X
 from kgspark.functions.html import parse_page
+from kgspark.operators.name_trie import scan_entities  # noqa: F401
 from kgspark.session import spread
 
 
@@ -27,64 +28,6 @@ def extract(pages: DataFrame, keep: list[str], max_chars: Optional[int] = None)
         "sparse", F.col("word_count") < fixed.SPARSE_PAGE_WORDS)
 
 
-WORD = r"[^\p{L}\p{N}_]+"
-
-
-def _tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), WORD), lambda t: t != "")
-
-
-def _lead_keys(tokens: Column, sizes: list[int]) -> Column:
-    """Distinct runs of consecutive tokens of each given size."""
-    n = F.size(tokens)
-    runs = [
-        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), _run(tokens, size))).otherwise(F.array().cast("array<string>"))
-        for size in sizes
-    ]
-    return F.array_distinct(F.flatten(F.array(*runs)))
-
-
-def _run(tokens: Column, size: int):
-    # Element access is constant time; a slice per position would copy the whole array each time.
-    return lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(size)])
-
-
-def scan_entities(docs: DataFrame, names: DataFrame, lead: int = 4) -> DataFrame:
-    """First whole-word mention of each known name (3 characters or more) in each text.
-
-    ``docs`` is (doc_id, text), ``names`` (name, uri, entity_type). The texts
-    are read once to list their distinct runs of up to ``lead`` tokens; those
-    meet the leading tokens of the names in an equality join, and only the
-    pairs found are checked against the text.
-    """
-    known = names.filter(F.length("name") >= 3).withColumn("toks", _tokens(F.col("name"))).filter(F.size("toks") > 0)
-    keyed = known.select("name", "uri", "entity_type", F.array_join(F.slice("toks", 1, lead), " ").alias("key"),
-                         F.least(F.size("toks"), F.lit(lead)).alias("size"))
-    # At most `lead` numbers come back: which run lengths occur at all.
-    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
-    if not sizes:
-        sizes = [1]
-    # Tokens are a column of their own, so the text is split once and not once per run.
-    split = spread(docs).select("doc_id", _tokens(F.col("text")).alias("toks"))
-    runs = split.select("doc_id", F.explode(_lead_keys(F.col("toks"), sizes)).alias("key"))
-    pairs = runs.join(keyed, "key").select("doc_id", "name", "uri", "entity_type")
-    quoted = F.concat(F.lit(r"(?iU)\b\Q"), F.lower("name"), F.lit(r"\E\b"))
-    at = F.regexp_instr("text", quoted)
-    return (
-        pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", at).filter("at > 0")
-        .select("doc_id", "name", "uri", "entity_type", F.col("at").cast("bigint").alias("position"),
-                snippet(F.col("text"), F.col("at"), F.length("name")).alias("context"))
-    )
-
-
-def snippet(text: Column, at: Column, size: Column, around: int = 50) -> Column:
-    """The match with its surroundings, dots where the text goes on."""
-    start = F.greatest(at - around, F.lit(1))
-    end = F.least(at + size - 1 + around, F.length(text))
-    body = X.strip(F.substring(text, start, end - start + 1))
-    return F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """NEW, UPDATE, FORGET or SAME per key, by comparing content hashes."""
     a = old.select(F.col(key), F.col(digest).alias("old_hash"))
