@@ -253,5 +253,4 @@ SKIPPED_FOLDERS = ["node_modules", "venv", ".venv", "__pycache__", ".git", ".myp
                    ".pytest_cache", "dist", "build", ".tox", "egg-info", ".eggs"]
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript",
              "jsx": "javascript", "sql": "sql"}
-MAX_FILE_CHARS = 500_000
 NOTE_EXTENSIONS = ["md", "py", "ts", "sql", "yaml", "yml", "json", "sh"]

@@ -6,6 +6,8 @@ language, so ids, edges and chunks are written once.
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,14 @@ def extension(path: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(path, "/", -1), ".", -1))
 
 
-def readable_files(files: DataFrame) -> DataFrame:
-    """Files of known extensions outside skipped and hidden folders, up to the size limit."""
+def readable_files(files: DataFrame, max_chars: Optional[int] = None) -> DataFrame:
+    """Files of known extensions outside skipped and hidden folders; with ``max_chars`` no longer ones."""
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     skipped = F.exists(folders, lambda d: d.isin(fixed.SKIPPED_FOLDERS) | d.startswith("."))
     known = fixed.CODE_EXTENSIONS + fixed.DOC_EXTENSIONS + fixed.OTHER_EXTENSIONS
     ext = extension(F.col("path"))
     return files.filter(
-        (ext.isin(known) | F.col("path").endswith(".env.example")) & ~skipped & (F.length("content") <= fixed.MAX_FILE_CHARS)
+        (ext.isin(known) | F.col("path").endswith(".env.example")) & ~skipped & (F.lit(True) if max_chars is None else F.length("content") <= max_chars)
     ).withColumn("language", F.coalesce(F.element_at(X.literal_map(fixed.LANGUAGES), ext), ext))
 
 
@@ -119,9 +121,13 @@ def script_symbols(files: DataFrame) -> DataFrame:
 
 
 def python_file_symbols(files: DataFrame) -> DataFrame:
-    return spread(files.filter("language = 'python'")).select(
-        "repo", "path", "language", F.inline(python_symbols("content"))
-    ).select(_COLUMNS)
+    """Imports, classes and functions; a file that does not parse gives one row of the type Unparsed."""
+    found = spread(files.filter("language = 'python'")).select("repo", "path", "language", python_symbols("content").alias("s"))
+    base, none = F.substring_index("path", "/", -1), F.lit("")
+    failed = F.struct(
+        F.lit("Unparsed").alias("entity_type"), base.alias("name"), F.lit("unparsed").alias("tag"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"),
+        F.col("path").alias("signature"), none.alias("docstring"), none.alias("params"), none.alias("returns"), F.array().cast("array<string>").alias("calls"))
+    return found.select("repo", "path", "language", F.inline(F.coalesce("s", F.array(failed)))).select(_COLUMNS)
 
 
 def file_entities(files: DataFrame) -> DataFrame:
@@ -203,16 +209,22 @@ def sweep(stored: DataFrame, scanned: DataFrame, unchanged: DataFrame, run_id: s
     return scanned.withColumn("run_id", F.lit(run_id)).unionByName(carried.withColumn("run_id", F.lit(run_id))).unionByName(others)
 
 
-def symbol_chunks(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """One searchable chunk per function, class, module and interface."""
+#: Characters of each part that are enough for most models, for those who want shorter chunks.
+SHORT_PARTS = {"Signature": 300, "Docstring": 500, "Parameters": 200, "Source": 1500}
+
+
+def symbol_chunks(nodes: DataFrame, files: DataFrame, cuts: Optional[dict[str, int]] = None) -> DataFrame:
+    """One searchable chunk per function, class, module and interface; whole parts unless ``cuts`` limits some (as SHORT_PARTS)."""
+    most = cuts or {}
     wanted = nodes.filter(F.col("entity_type").isin("Function", "Class", "Module", "Interface"))
     src = files.select("repo", "path", F.split("content", "\n").alias("rows"))
     body = F.array_join(F.slice("rows", F.greatest(F.col("line_start"), F.lit(1)), F.greatest(F.least(F.col("line_end"), F.size("rows")) - F.greatest(F.col("line_start"), F.lit(1)) + 1, F.lit(0))), "\n")
-    part = lambda title, c, n=None: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(title + ": "), F.substring(c, 1, n) if n else c))
+    cut = lambda title, c: F.substring(c, 1, most[title]) if title in most else c
+    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(title + ": "), cut(title, c)))
     text = F.concat_ws(
-        "\n", F.concat("entity_type", F.lit(": "), "name"), F.concat(F.lit("File: "), "path"), part("Signature", F.col("signature"), 300),
-        part("Docstring", F.col("docstring"), 500), part("Parameters", F.col("params"), 200), part("Returns", F.col("returns")),
-        F.concat(F.lit("Source:\n"), F.substring(body, 1, 1500)))
+        "\n", F.concat("entity_type", F.lit(": "), "name"), F.concat(F.lit("File: "), "path"), part("Signature", F.col("signature")),
+        part("Docstring", F.col("docstring")), part("Parameters", F.col("params")), part("Returns", F.col("returns")),
+        F.concat(F.lit("Source:\n"), cut("Source", body)))
     rid = F.concat(F.lit("github:"), "repo", F.lit(":"), "path", F.lit("#entity:"), "name")
     order = Window.partitionBy("repo", "path").orderBy("line_start", "entity_id")  # the symbols of one file
     return wanted.join(src, ["repo", "path"]).select(

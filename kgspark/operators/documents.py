@@ -93,10 +93,11 @@ def sentence_chunks(df: DataFrame, keys: list[str], size: int = fixed.CHUNK_SIZE
     return _pieces(ready.withColumn("bounds", bounds), keys, F.col("toks"), F.col("bounds"), F.col("stripped"))
 
 
-def embed_text(title: Column, text: Column) -> Column:
-    """Title and first 500 words, at most 2000 characters: what is embedded for a document."""
-    head = F.array_join(F.slice(X.words(text), 1, 500), " ")
-    return F.substring(F.concat_ws("\n", title, head), 1, 2000)
+def embed_text(title: Column, text: Column, max_words: Optional[int] = None, max_chars: Optional[int] = None) -> Column:
+    """Title and words of a document, which is what is embedded for it; for a model with a limit the first ``max_words`` or ``max_chars``."""
+    words = X.words(text)
+    whole = F.concat_ws("\n", title, F.array_join(F.slice(words, 1, max_words) if max_words else words, " "))
+    return F.substring(whole, 1, max_chars) if max_chars else whole
 
 
 def text_search(df: DataFrame, pattern: str, limit: int, newest: Column, source: Optional[str] = None,

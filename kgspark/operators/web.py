@@ -11,6 +11,7 @@ from kgspark import fixed
 from kgspark.functions import text as X
 from kgspark.functions.html import parse_page
 from kgspark.operators.name_trie import scan_entities  # noqa: F401
+from kgspark.operators.notes import short_name
 from kgspark.session import spread
 
 
@@ -53,7 +54,7 @@ def evaluate(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
 def ingest(submissions: DataFrame) -> DataFrame:
     """Evaluated submissions become ingested and get the path of their note."""
     safe = F.regexp_replace(F.coalesce("title", "domain"), r"[^\p{L}\p{N}_\s-]", "")
-    name = X.strip(F.regexp_replace(X.strip(F.substring(safe, 1, 60)), r"\s+", " "))
+    name = short_name(X.strip(F.regexp_replace(X.strip(safe), r"\s+", " ")), F.col("rid"), 60)
     name = F.when(name == "", F.translate("domain", ".", "_")).otherwise(name)
     done = F.col("status") == "evaluated"
     return submissions.withColumn("note_path", F.when(done, F.concat(F.lit("Sources/"), name, F.lit(".md")))).withColumn(

@@ -111,9 +111,12 @@ def sentence_chunks(spark, sf):
 
 
 @query("embed_text", f"""
-SELECT doc_id, sha256(left(source || chr(10) || array_to_string({_TOKENS}[1:500], ' '), 2000)) AS text_hash FROM documents""")
+SELECT doc_id, sha256(source || chr(10) || array_to_string({_TOKENS}, ' ')) AS text_hash,
+ sha256(left(source || chr(10) || array_to_string({_TOKENS}[1:500], ' '), 2000)) AS short_hash FROM documents""")
 def embed_text(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.sha2(D.embed_text(F.col("source"), F.col("text")), 256).alias("text_hash"))
+    source, text = F.col("source"), F.col("text")
+    return T.table(spark, sf, "documents").select(
+        "doc_id", F.sha2(D.embed_text(source, text), 256).alias("text_hash"), F.sha2(D.embed_text(source, text, 500, 2000), 256).alias("short_hash"))
 
 
 @query("text_search_ilike", M.with_(M.MEMORIES) + """

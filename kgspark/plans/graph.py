@@ -153,7 +153,7 @@ def two_hop_paths(spark, sf):
     return G.two_hops(T.relationships(spark, sf, ["located_in"]), T.relationships(spark, sf, ["broader"]))
 
 
-@query("triple_exists", M.with_(M.EDGES) + """
+@query("triple_exists", M.with_(M.EDGES_ONCE) + """
 SELECT e.subject_uri, e.object_uri FROM edges e WHERE e.predicate = 'affiliated_with' AND EXISTS (
 SELECT 1 FROM edges h WHERE h.predicate = 'has_project' AND h.confidence >= 0.75 AND h.subject_uri = e.object_uri)""")
 def triple_exists(spark, sf):

@@ -68,6 +68,9 @@ EDGES = "edges AS (" + " UNION ALL ".join([
           "JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey"),
 ]) + ")"
 
+#: The edges worked out once, for queries that ask them several times.
+EDGES_ONCE = EDGES.replace("edges AS (", "edges AS MATERIALIZED (", 1)
+
 _ORDER_NOTE = "('vault:notes/Orders/' || strftime(o_orderdate, '%Y-%m-%d') || '-' || o_orderkey || '.md')"
 _PART_NOTE = "('vault:Deals/' || l_partkey || '.md')"
 
