@@ -94,36 +94,46 @@ def _metadata(page: _Outline) -> dict:
     return out
 
 
+#: Tags that hold a page's text, the better first; a class that speaks of content comes last.
+_BOXES = {"main": 0, "article": 1}
+
+
+def _box(page: _Outline) -> tuple[int, int, int]:
+    """Number of the first element inside the text's box, and the range of texts the box holds; the whole page without one."""
+    ranked = [(_BOXES.get(tag, 2), i) for i, (tag, name, *_) in enumerate(page.elements) if tag in _BOXES or "content" in name.lower()]
+    if not ranked:
+        return 0, 0, len(page.texts)
+    at = min(ranked)[1]
+    return at + 1, page.elements[at][2], page.elements[at][3]
+
+
 def _content(page: _Outline, title: str | None) -> str:
-    finders = (lambda e: e[0] == "main", lambda e: e[0] == "article", lambda e: "content" in e[1].lower())
-    box = next((e for f in finders for e in page.elements if f(e)), None)
-    lo, hi = (box[2], box[3]) if box else (0, len(page.texts))
-    first = page.elements.index(box) + 1 if box else 0
-    # Dropped elements only count inside the chosen box; its own ancestors do not hide it.
-    gone = [(e[2], e[3]) for e in page.elements[first:] if e[0] in DROPPED and e[2] >= lo and e[3] <= hi]
-    dead = set().union(*(range(a, b) for a, b in gone)) if gone else set()
-
-    def pieces(e):
-        kept = (page.texts[i] for i in range(e[2], e[3]) if i not in dead)
-        return [s for s in (t.strip() for t, tags in kept if e[0] in HIDDEN or not tags & HIDDEN) if s]
-
-    inside = [e for e in page.elements[first:] if e[2] >= lo and e[3] <= hi]
-    seen, blob, lines = set(), "", []
-    for e in inside:
-        if e[0] in BLOCKS:
-            text = re.sub(r"\s+", " ", " ".join(pieces(e))).strip()
-            if len(text) > 5 and text not in blob:
-                lines.append(text)
-                seen.add(text)
-                blob += "\0" + text
-    for e in inside:
-        if e[0] == "li":
-            text = re.sub(r"\s+", " ", "".join(pieces(e))).strip()
-            if len(text) > 10 and text not in seen:
-                lines.append("- " + text)
-                seen.add(text)
-    body = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-    return f"# {title}\n\n{body}" if title and title not in body[:200] else body
+    """Blocks of the box that say something new, then its list items, in one walk over its elements."""
+    first, low, high = _box(page)
+    inside = [e for e in page.elements[first:] if low <= e[2] and e[3] <= high]
+    alive = [True] * (high - low)
+    for tag, _, start, stop in inside:
+        if tag in DROPPED:
+            alive[start - low : stop - low] = [False] * (stop - start)
+
+    def said(tag: str, start: int, stop: int) -> str:
+        texts = (page.texts[i] for i in range(start, stop) if alive[i - low])
+        parts = (t.strip() for t, tags in texts if tag in HIDDEN or not tags & HIDDEN)
+        return " ".join(("" if tag == "li" else " ").join(p for p in parts if p).split())
+
+    blocks, items, told = [], [], ""
+    for tag, _, start, stop in inside:
+        if tag in BLOCKS:
+            text = said(tag, start, stop)
+            if len(text) > 5 and text not in told:
+                blocks.append(text)
+                told = f"{told}\0{text}"
+        elif tag == "li":
+            items.append(said(tag, start, stop))
+    known = set(blocks)
+    news = [t for t in dict.fromkeys(items) if len(t) > 10 and t not in known]
+    body = "\n".join(blocks + ["- " + t for t in news])
+    return body if not title or title in body[:200] else f"# {title}\n\n{body}"
 
 
 @F.pandas_udf(PAGE_SCHEMA)
