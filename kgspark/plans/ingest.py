@@ -9,6 +9,7 @@ from kgspark.functions import text as X
 from kgspark.functions.phonetic import phonetic_code
 from kgspark.operators import extraction as P
 from kgspark.operators import federation as N
+from kgspark.operators import register as G
 from kgspark.operators import resolve as R
 from kgspark.operators import sequential as Q
 from kgspark.plans import model_sql as M
@@ -128,6 +129,43 @@ def ingest_sequential(spark, sf):
     return done.select("mention_id", "uri", "is_new", "confidence")
 
 
+_RID = """'@NET@' || lower(kind) || ':' || trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(norm)),'[^\\p{L}\\p{N}_\\s-]','','g'),'[\\s_]+','-','g'),'-+','-','g'),'-') || '+' || left(sha256(uri),16)"""
+
+
+@query("register_entities", f"""
+WITH b AS (SELECT 'vault:People/' || c_custkey AS vault_rid, c_name AS name, 'Person' AS kind, c_custkey * 3 AS n, ['C ' || c_custkey, 'cust ' || c_custkey] AS more FROM customer
+ UNION ALL SELECT 'vault:Organizations/' || s_suppkey, 'Lodge ' || left(sha256(CAST(s_suppkey AS VARCHAR)), 12), 'Organization', s_suppkey * 3 + 1, CAST([] AS VARCHAR[]) FROM supplier
+ UNION ALL SELECT 'vault:Organizations/again-' || s_suppkey, 'LODGE ' || left(sha256(CAST(s_suppkey AS VARCHAR)), 12), 'Organization', 1000000000 + s_suppkey * 3 + 2, ['L' || s_suppkey] FROM supplier),
+u AS (SELECT *, {M.norm('name')} AS norm, {M.uri('name', 'kind')} AS uri FROM b)
+SELECT vault_rid, uri AS canonical_uri, CASE WHEN vault_rid LIKE 'vault:Organizations/%' AND vault_rid NOT LIKE '%again%' THEN 'NEW' ELSE 'UPDATE' END AS event_type, {_RID} AS rid,
+ CASE kind WHEN 'Person' THEN array_to_string(list_sort(list_distinct(['c ' || split_part(vault_rid, '/', 2), 'cust ' || split_part(vault_rid, '/', 2)])), ',') ELSE 'l' || regexp_extract(vault_rid, '(\\d+)$', 1) END AS aliases,
+ CASE kind WHEN 'Person' THEN vault_rid ELSE replace(vault_rid, 'again-', '') END AS first_rid FROM u""")
+def register_entities(spark, sf):
+    """Notes of known people, of unknown organizations, and of the same organizations again."""
+    t = lambda n: T.table(spark, sf, n)
+    text = lambda c: F.col(c).cast("string")
+
+    def notes(df, rid, name, kind, number, aliases):
+        return df.select(rid.alias("vault_rid"), F.concat(rid, F.lit(".md")).alias("vault_path"), name.alias("name"), F.lit(kind).alias("entity_type"), F.sha2(name, 256).alias("content_hash"),
+                         aliases.cast("array<string>").alias("aliases"), number.alias("number"))
+
+    hashed = F.substring(F.sha2(text("s_suppkey"), 256), 1, 12)
+    place = lambda kind, c: F.concat(F.lit(f"vault:{kind}"), text(c))
+    people = notes(t("customer"), place("People/", "c_custkey"), F.col("c_name"), "Person", F.col("c_custkey") * 3,
+                   F.array(F.concat(F.lit("[[People/C "), text("c_custkey"), F.lit("]]")), F.concat(F.lit("Cust "), text("c_custkey"))))
+    lodges = notes(t("supplier"), place("Organizations/", "s_suppkey"), F.concat(F.lit("Lodge "), hashed), "Organization", F.col("s_suppkey") * 3 + 1, F.array())
+    again = notes(t("supplier"), place("Organizations/again-", "s_suppkey"), F.concat(F.lit("LODGE "), hashed), "Organization", F.col("s_suppkey") * 3 + 1_000_000_002,
+                  F.array(F.concat(F.lit("L"), text("s_suppkey"))))
+    registry = T.entity_registry(spark, sf, ["Person"]).withColumns({"vault_rid": F.lit(None).cast("string"), "koi_rid": F.lit(None).cast("string")})
+    batch = people.unionByName(lodges).unionByName(again)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    done = G.register(batch, registry, empty("vault_rid string, vault_path string, canonical_uri string, entity_type string, name string, content_hash string, sync_status string"),
+                      empty("pending_id long, subject_uri string, predicate string, object_uri string, raw_unknown_label string, unknown_side string, target_type_hint string, source_field string"), "number")
+    entity = done.registry.select(F.col("uri").alias("canonical_uri"), F.array_join("aliases", ",").alias("aliases"), F.col("vault_rid").alias("first_rid"))
+    told = done.events.join(batch.select("number", "vault_rid"), "number").select("vault_rid", "event_type", "rid")
+    return done.mappings.select("vault_rid", "canonical_uri").join(told, "vault_rid").join(entity, "canonical_uri")
+
+
 @query("enrich_match", """
 SELECT 'org:' || s_suppkey AS uri, CASE WHEN s_suppkey % 2 = 0 THEN 100.0 ELSE round(200.0 * 17 / (18 + 17), 6) END AS ratio, 'Supplier in ' || n_name AS description
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
