@@ -226,6 +226,9 @@ FIELD_SYNONYMS = {
     "projects": "projects",
 }
 
+# Short names of the sensors that documents come from.
+SOURCE_SENSORS = {"email": "email-sensor", "vault": "obsidian-sensor", "github": "github-sensor"}
+
 # Event queue and monitoring settings.
 EVENT_TTL_HOURS = 24
 POLL_LIMIT = 50

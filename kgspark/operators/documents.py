@@ -155,3 +155,31 @@ def related_documents(mentions: DataFrame, links: DataFrame, topics: Optional[Da
     found = links.join(mentions, "entity_uri").select("strategy", "document_rid")
     found = found.unionByName(topics) if topics is not None else found
     return found.groupBy("document_rid").agg(F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"))
+
+
+def source_sensor(source: Optional[str]) -> Optional[str]:
+    """The sensor a short source name stands for; other names stand for themselves."""
+    return fixed.SOURCE_SENSORS.get(source, source)
+
+
+def knowledge_search(memories: DataFrame, chunks: DataFrame, query, k: int, source: Optional[str] = None, mail: Optional[DataFrame] = None, preview: int = 500) -> DataFrame:
+    """The k nearest documents and the k nearest chunks of one query vector, ``hit`` says which.
+
+    ``memories`` is (rid, title, text, source_sensor, vec), ``chunks``
+    (chunk_rid, document_rid, text, vec). Only chunks of known documents count.
+    ``mail`` (rid, subject, from_name, from_address, date_sent) is looked up
+    for hits that came by mail.
+    """
+    held = memories.filter(F.col("source_sensor") == source_sensor(source)) if source else memories
+    docs = nearest(held, query, k, ["rid"]).join(held.select("rid", "title", "text", "source_sensor"), "rid").select(
+        F.lit("document").alias("hit"), "rid", F.col("rid").alias("document_rid"), "title", F.substring("text", 1, preview).alias("preview"), "similarity", "source_sensor")
+    owner = held.select(F.col("rid").alias("document_rid"), "title", "source_sensor")
+    known = chunks.join(owner.select("document_rid"), "document_rid", "left_semi")
+    found = nearest(known, query, k, ["chunk_rid", "document_rid"])
+    parts = found.join(chunks.select("chunk_rid", "text"), "chunk_rid").join(owner, "document_rid").select(
+        F.lit("chunk").alias("hit"), F.col("chunk_rid").alias("rid"), "document_rid", "title", F.substring("text", 1, preview).alias("preview"), "similarity", "source_sensor")
+    hits = docs.unionByName(parts)
+    if mail is None:
+        return hits
+    by_mail = mail.select(F.col("rid").alias("document_rid"), F.lit(fixed.SOURCE_SENSORS["email"]).alias("source_sensor"), "subject", "from_name", "from_address", "date_sent")
+    return hits.join(by_mail, ["document_rid", "source_sensor"], "left")

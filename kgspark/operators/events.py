@@ -36,6 +36,12 @@ def expired_count(events: DataFrame, now: Column) -> DataFrame:
     return events.agg(F.count_if(F.col("expires_at") <= now).alias("expired"), F.count_if(F.col("expires_at") > now).alias("live"))
 
 
+def cleanup(events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The queue without what has expired, and what was taken out; an event without an expiry stays."""
+    gone = F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    return events.filter(~gone), events.filter(gone)
+
+
 def pending_for(events: DataFrame, deliveries: DataFrame, node: str, now: Column) -> DataFrame:
     """Live events not yet delivered to ``node``."""
     done = deliveries.filter(F.col("node") == node).select("event_id")

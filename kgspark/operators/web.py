@@ -40,6 +40,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
     return a.join(b, key, "full_outer").select(key, change.alias("change"), "old_hash", "new_hash")
 
 
+def due_for_check(pages: DataFrame, limit: int) -> DataFrame:
+    """The monitored pages to look at next: those never fetched first, then the longest ago."""
+    return pages.filter("status = 'monitoring'").orderBy(F.col("fetched_at").asc_nulls_first(), "rid").limit(limit)
+
+
+def longest_first(names: DataFrame, limit: int) -> DataFrame:
+    """The longest names, in the order in which they are listed; ties by name and uri."""
+    return names.orderBy(F.length("name").desc(), "name", "uri").limit(limit)
+
+
 def evaluate(submissions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Previewed submissions become evaluated or rejected; ``applied`` is false for other states.
 

@@ -165,6 +165,30 @@ def document_vector_search(spark, sf):
     return D.nearest(joined, q, 50, ["doc_id", "source"], at_least=0.1)
 
 
+@query("knowledge_search", f"""
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 3),
+m AS (SELECT doc_id, source || '/' || doc_id AS rid, source AS title, text, ['email-sensor', 'obsidian-sensor', 'github-sensor'][CAST(doc_id % 3 + 1 AS INTEGER)] AS source_sensor FROM documents),
+mail AS (SELECT conv_id AS doc_id, left(text, 40) AS subject, role AS from_name FROM conversations WHERE turn = 0),
+d AS (SELECT 'document' AS hit, rid, rid AS document_rid, title, left(text, 500) AS preview, round({_COS}, 6) AS similarity, doc_id FROM m JOIN embeddings ON vec_id = doc_id, q WHERE source_sensor = 'email-sensor' ORDER BY similarity DESC, rid LIMIT 15),
+c AS (SELECT 'chunk' AS hit, 'chunk:' || vec_id AS rid, rid AS document_rid, title, left(substr(text, 11), 500) AS preview, round({_COS}, 6) AS similarity, doc_id
+ FROM m JOIN embeddings ON vec_id // 2 = doc_id, q WHERE source_sensor = 'email-sensor' ORDER BY similarity DESC, 'chunk:' || vec_id, rid LIMIT 15)
+SELECT hit, h.rid, document_rid, title, preview, similarity, subject, from_name FROM (SELECT * FROM d UNION ALL SELECT * FROM c) h LEFT JOIN mail USING (doc_id)""")
+def knowledge_search(spark, sf):
+    """Two chunks for each document that has a vector; mail heads are the first turns of conversations."""
+    vecs = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = vecs.filter("vec_id = 3").select("vec").first()[0]  # the query vector: one row
+    sensors = F.array(*map(F.lit, ["email-sensor", "obsidian-sensor", "github-sensor"]))
+    rid = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    docs = T.table(spark, sf, "documents").select("doc_id", rid.alias("rid"), F.col("source").alias("title"), "text", F.get(sensors, F.pmod("doc_id", F.lit(3))).alias("source_sensor"))
+    memories = docs.join(vecs, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+    owner = docs.select(F.col("doc_id"), F.col("rid").alias("document_rid"), F.expr("substr(text, 11)").alias("text"))
+    chunks = vecs.withColumn("doc_id", F.floor(F.col("vec_id") / 2)).join(owner, "doc_id").select(F.concat(F.lit("chunk:"), F.col("vec_id").cast("string")).alias("chunk_rid"), "document_rid", "text", "vec")
+    none = F.lit(None).cast("string")
+    mail = T.table(spark, sf, "conversations").filter("turn = 0").join(docs.select("doc_id", "rid"), F.col("conv_id") == F.col("doc_id")).select(
+        "rid", F.substring("text", 1, 40).alias("subject"), F.col("role").alias("from_name"), none.alias("from_address"), none.alias("date_sent"))
+    return D.knowledge_search(memories, chunks, q, 15, "email", mail).select("hit", "rid", "document_rid", "title", "preview", "similarity", "subject", "from_name")
+
+
 _GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in string_split(trim(regexp_replace(lower({x}),'[^\\p{{L}}\\p{{N}}]+',' ','g')),' ') if w <> '']))"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgspark import fixed
 from kgspark.operators import admission as A
 from kgspark.operators import events as E
+from kgspark.operators.store import write_version
 from kgspark.plans import model_sql as M
 from kgspark.plans.base import query
 from kgspark.sources import tables as T
@@ -48,6 +49,16 @@ def event_ttl(spark, sf):
     return E.expired_count(T.network_events(spark, sf), _now())
 
 
+@query("event_cleanup", M.with_(M.EVENTS) + f"""
+SELECT id, event_id, rid, 'live' AS part FROM queue WHERE expires_at > TIMESTAMP '{_NOW}' UNION ALL SELECT id, event_id, rid, 'expired' FROM queue WHERE expires_at <= TIMESTAMP '{_NOW}'""")
+def event_cleanup(spark, sf):
+    """The rewritten queue, read back from its new version, and what was taken out."""
+    live, gone = E.cleanup(T.network_events(spark, sf), _now())
+    kept = spark.read.parquet(write_version(live, "queue"))
+    columns = ["id", "event_id", "rid"]
+    return kept.select(*columns, F.lit("live").alias("part")).unionByName(gone.select(*columns, F.lit("expired").alias("part")))
+
+
 @query("event_poll", M.with_(M.EVENTS, _DELIVERED, _PENDING) + """
 SELECT id, event_id, event_type, rid, source_node FROM (SELECT * FROM pending ORDER BY queued_at, id LIMIT 50)
 WHERE rid LIKE '@NET@person:%'""")
