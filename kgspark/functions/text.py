@@ -59,7 +59,7 @@ def unlinked(c: Column) -> Column:
     plain = lambda p: F.concat(F.lit("[["), p)
     after = lambda p: F.substring(p, F.instr(p, F.lit("]]")) + 2, F.length(p))
     shown = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.coalesce(F.concat(_target(p), after(p)), plain(p)))
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(shown, ""))
+    return F.when(c.contains("[["), F.concat(F.get(parts, F.lit(0)), F.array_join(shown, ""))).otherwise(c)
 
 
 def normalize_alias(c: Column) -> Column:
