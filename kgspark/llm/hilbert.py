@@ -2,22 +2,21 @@
 
 Each dimension is quantised by approximate quantiles (a bounded sketch) into
 ``2**BITS`` cells, the cells are numbered along the curve, and rows are sorted by
-that number. Cuts at exact ranks give shards with row counts at most one apart
-(law ``rows``). Cut ranks are found on keys alone; texts are shuffled once, to
-where they are written.
+that number. Sorted runs are written once; a row's rank is its run's first rank
+and its place in the run's file, and the rank alone gives shard and slot. So row
+counts are at most one apart (law ``rows``), and texts are shuffled once.
 
-A hot cell is no problem: the sort goes on by text digest and doc_id, so a cell
-is cut like any other run.
+A hot cell is no problem: the sort goes on by text digest and doc_id, and then by
+a number per row, so a cell or a row that repeats often is cut like any other run.
 
 Defined cases: null in a dimension is its lowest cell; null text has size 1 and
-the digest of nothing. Rows that tie in every sort column stay in one shard, so
-the law holds but for such repeats. Empty tables give no shard. Further columns
-are written along.
+the digest of nothing. Rows that tie in every sort column lie side by side and may
+go to two shards. Empty tables give no shard. Further columns are written along;
+one named ``shard`` or ``slot`` gives way, ``curve`` makes ours ``curve_``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,32 +95,30 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     return [let(c, cell(cuts[d] or [0.0])) for d, c in numbers.items()]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns} | {"shard", "slot"}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]
+
+
 def shard(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS, folder: str | None = None, bits: int = BITS) -> DataFrame:
     """Writes ``df`` as Parquet, one folder per shard, each file a run along the curve; returns it with shard and slot, read from there."""
     spark = df.sparkSession
-    cells = quantised(df, dims, bits)
-    df = df.withColumn("curve", hilbert_index(cells, bits))
-    order = ["curve", *ties]
-    # Keys alone: sorted runs, whose sizes and row numbers give exact ranks.
-    run_key = written(df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id()), "curve-keys")
-    keys = run_key.select(*order, "run", F.col("_metadata.row_index").alias("at"))
-    sizes = keys.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("run", "n", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("base"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    firsts = sorted({math.ceil(total * s / shards) for s in range(1, shards)})
-    rank = F.col("base") + F.col("at")
-    cuts = [r for r in keys.join(sizes, "run").where(rank.isin(firsts)).select(rank.alias("rank"), *order).collect()]
-    if len(cuts) != len([f for f in firsts if f < total]):
+    curve, copy, run, at, base, n = unused(df, "curve", "copy", "run", "at", "base", "n")
+    # ``copy`` parts repeated rows. It is not asked for again: what is written keeps its place.
+    placed = df.withColumn(curve, hilbert_index(quantised(df, dims, bits), bits)).withColumn(copy, F.monotonically_increasing_id())
+    order = [curve, *ties, copy]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(copy)
+    runs = written(ordered.withColumn(run, F.spark_partition_id()), "curve-runs").withColumn(at, F.col("_metadata.row_index"))
+    sizes = runs.groupBy(run).agg(F.count(F.lit(1)).alias(n), (F.max(at) + 1).alias(at))
+    sizes = written(sizes.select(run, n, at, (F.sum(n).over(Window.orderBy(run)) - F.col(n)).alias(base)), "curve-sizes")
+    total, whole = sizes.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.bool_and(F.col(n) == F.col(at)), F.lit(True))).first()
+    if not whole:
         raise ValueError("runs were not written one file each")
-    bounds = [F.struct(*[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for cut in sorted(cuts, key=lambda r: r["rank"])]
-    number = F.lit(0)
-    if bounds:
-        number = let(F.struct(*order), lambda mine: F.aggregate(F.array(*bounds), F.lit(0), lambda n, x: n + F.when(mine >= x, 1).otherwise(0)))
+    # Shard s holds the ranks from ceil(total * s / shards) on.
+    ranked = runs.join(sizes.select(run, base), run).withColumn(base, F.col(base) + F.col(at)).drop(run, at)
+    ranked = ranked.withColumn("shard", F.expr(f"cast(`{base}` * {shards}L div {max(total, 1)}L as int)"))
+    ranked = ranked.withColumn("slot", F.col(base) - F.expr(f"({total}L * shard + {shards - 1}L) div {shards}L")).drop(base)
     folder = folder or session.run_dir(spark, "shards")
-    placed = df.withColumn("shard", number.cast("int")).repartitionByRange("shard", *order).sortWithinPartitions("shard", *order)
-    placed.withColumn("run", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-    schema = placed.drop("shard").withColumn("run", F.lit(0)).schema
-    out = spark.read.schema(schema.add("shard", IntegerType())).parquet(folder).select("*", F.col("_metadata.row_index").alias("at"))
-    parts = out.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.select("shard", "run", (F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).alias("base"))
-    return out.join(parts, ["shard", "run"]).withColumn("slot", F.col("base") + F.col("at")).drop("run", "at", "base")
+    ranked.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    return spark.read.schema(ranked.drop("shard").schema.add("shard", IntegerType())).parquet(folder)

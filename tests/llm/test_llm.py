@@ -280,6 +280,30 @@ def test_hilbert_shards(spark):
     assert [r.curve for r in order] == sorted(r.curve for r in order)
 
 
+def test_hilbert_repeated_rows(spark):
+    """The law holds where half of all rows are one row, with null texts and clashing names."""
+    rows = [(7, "hot", None, 1, "c", 2, 3, 4, 5, 6)] * 100 + [(i, "s%d" % (i % 5), "x" * i, i, "c", 2, 3, 4, 5, 6) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, size long, curve string, run int, at int, n int, shard int, slot int")
+    got = hilbert.shard(df.repartition(3), ["source", "size"], ["doc_id"]).collect()
+    sizes = collections.Counter(r.shard for r in got)
+    assert len(got) == 200 and set(sizes) == set(range(16)) and set(sizes.values()) <= {12, 13}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    assert collections.Counter((r.doc_id, r.source, r.text, r.size, r.curve, r.run, r.at, r.n) for r in got) == collections.Counter(r[:8] for r in rows)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve_ for r in order] == sorted(r.curve_ for r in order)
+
+
+def test_hilbert_prunes_every_dimension(spark):
+    """A range of any one dimension meets few shards, where a sort by the first would leave all for the second."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, rnd.random(), rnd.random()) for i in range(2000)], "doc_id long, a double, b double")
+    got = hilbert.shard(df, ["a", "b"], ["doc_id"]).collect()
+    for d in "ab":
+        box = {s: [r[d] for r in got if r.shard == s] for s in range(16)}
+        met = [sum(min(v) <= x <= max(v) for v in box.values()) for x in np.linspace(0.05, 0.95, 19)]
+        assert max(met) <= 8 and sum(met) / len(met) <= 6
+
+
 def test_mixing(spark):
     rnd = random.Random(6)
     kinds = ["clean", "toxic", "low"]
