@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from kgspark import session
-from kgspark.llm.batches import written
+from kgspark.llm.batches import unused, written
 
 SHARDS, BITS = 16, 5
 ACCURACY = 10_000
@@ -95,16 +95,10 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     return [let(c, cell(cuts[d] or [0.0])) for d, c in numbers.items()]
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores as make it differ from all columns of ``df``."""
-    taken = {c.lower() for c in df.columns} | {"shard", "slot"}
-    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]
-
-
 def shard(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS, folder: str | None = None, bits: int = BITS) -> DataFrame:
     """Writes ``df`` as Parquet, one folder per shard, each file a run along the curve; returns it with shard and slot, read from there."""
     spark = df.sparkSession
-    curve, copy, run, at, base, n = unused(df, "curve", "copy", "run", "at", "base", "n")
+    curve, copy, run, at, base, n = unused(df.columns + ["shard", "slot"], "curve", "copy", "run", "at", "base", "n")
     # ``copy`` parts repeated rows. It is not asked for again: what is written keeps its place.
     placed = df.withColumn(curve, hilbert_index(quantised(df, dims, bits), bits)).withColumn(copy, F.monotonically_increasing_id())
     order = [curve, *ties, copy]

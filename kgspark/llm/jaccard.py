@@ -9,7 +9,8 @@ all others. The join goes in steps that each keep every link:
 3. Of the rest, a set can only link if as many of *all* its shingles as a link
    needs (``percent``) occur in other sets. For those that are left, the rarest shingles are the keys under which
    pivots find everything within reach.
-   Seen from a key, what comes before and after it bounds what two sets share.
+   Seen from a key, what comes before and after it bounds what two sets share,
+   and so do bit sketches of what each set may share at all.
 4. Levels of pivots: in each key with more than one component, the sets with the
    smallest random priority become pivots, eight times as many per level. Every
    other set of the key is compared with them. Sets belong to the Voronoi region
@@ -34,10 +35,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.batches import keyed, mix, same, text_chunks, words_in, written
+from kgspark.llm.batches import erase, keyed, mix, same, text_chunks, unused, words_in, written
 from kgspark.llm.exchange import BLOCK_BYTES, counts_in, merged, shared_keys
 from kgspark.llm.graph import components
 
@@ -171,20 +172,33 @@ def _near(docs: DataFrame, profiles: DataFrame, width: int) -> DataFrame:
     near = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors, "doc_id long, text_key long, digest string, sig long")
     # One text for each class, that of its smallest document.
     chosen = near.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("c"))
-    chosen = chosen.select("sig", F.col("c.doc_id").alias("chosen_id"), F.col("c.text_key").alias("chosen_key"))
+    # Written, so that Spark knows its size: texts move only where it is too large to send.
+    chosen = written(chosen.select("sig", F.col("c.doc_id").alias("chosen_id"), F.col("c.text_key").alias("chosen_key")), "chosen")
     texts = docs.join(chosen, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_key") == F.col("chosen_key"))).select("sig", "text")
     return written(texts.mapInArrow(_sets(width), "block long, sig array<long>, shingles array<array<long>>"), "sets")
 
 
+#: Words of 64 bits in a set's sketch.
+SKETCH = 4
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle hash. A bit that only one of two sets has is a shingle that the other lacks."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(64 * SKETCH)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefixes(percent: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """(key, sig, n, before, after): the rarest shared shingles of each set that can still link, as many as a link needs.
+        """(key, sig, n, before, after, sketch): the rarest shared shingles of each set that can still link, as many as a link needs.
 
         ``before`` and ``after`` count the set's shingles that may be in common with
-        another set on either side of the key.
+        another set on either side of the key; the sketch has a bit for each of them.
         """
         known, df = merged(right)
-        out_keys, out = [np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)]
+        out_keys, out = [np.empty(0, np.uint64)], [np.empty((0, 4 + SKETCH), np.int64)]
         for c in range(left.num_rows):
             keys, counts, ends = _hits(left.column("shingles")[c].values, known, df)
             for sig, a, b in zip(left.column("sig")[c].values.to_pylist(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
@@ -196,10 +210,11 @@ def _prefixes(percent: int):
                     mine = keys[a:b][common[order[: len(common) - needed + 1]]]
                     place = np.arange(len(mine))
                     out_keys.append(mine)
-                    out.append(np.stack([np.full(len(mine), sig), np.full(len(mine), b - a), place, len(common) - place - 1], axis=1))
+                    counted = np.stack([np.full(len(mine), sig), np.full(len(mine), b - a), place, len(common) - place - 1], axis=1)
+                    out.append(np.hstack([counted, np.tile(sketch(keys[a:b][common]), (len(mine), 1))]))
         rest = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), *(pa.array(rest[:, k]) for k in range(4))],
-                                    names=["key", "sig", "n", "before", "after"])
+        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), *(pa.array(rest[:, k]) for k in range(4 + SKETCH))],
+                                    names=["key", "sig", "n", "before", "after", *_SKETCH])
 
     return run
 
@@ -207,7 +222,23 @@ def _prefixes(percent: int):
 def _keys(blocks: DataFrame, percent: int) -> DataFrame:
     answers = shared_keys(blocks, "shingles", _total(blocks, "shingles"))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _prefixes(percent), "key long, sig long, n long, before long, after long").distinct()
+        _prefixes(percent), ", ".join(f"{c} long" for c in ("key", "sig", "n", "before", "after", *_SKETCH))).dropDuplicates(["key", "sig"])
+
+
+def _may_link(percent: int) -> Column:
+    """Whether what two sets with a key in common can share reaches what a link of their sizes needs.
+
+    A set shares at most what may be shared before and after the key, and not the
+    shingles whose bits the other lacks.
+    """
+    def lacking(of: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(of + c).bitwiseAND(F.bitwise_not(other + c))) for c in _SKETCH), F.lit(0))
+
+    def common(of: str) -> Column:
+        return F.col(of + "before") + 1 + F.col(of + "after")
+
+    most = F.least(F.least("before", "p_before") + 1 + F.least("after", "p_after"), common("") - lacking("", "p_"), common("p_") - lacking("p_", ""))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("p_n"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,30 +251,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(sig, label): components of the linked sets; sets without a link may be missing."""
+    """(sig, label): components of the linked sets; sets without a link may be missing. ``blocks`` is a written table, used up here."""
     spark = blocks.sparkSession
     reach = 1 - percent / 100 + 1e-9
     keys = written(_keys(blocks, percent), "keys")
     # Only sets with keys are compared; a repeated row of one text may give a set twice.
     rows = blocks.select(F.inline(F.arrays_zip("sig", "shingles")))
-    sets = written(rows.join(keys.select("sig").distinct(), "sig").select("sig", F.size("shingles").alias("n"), "shingles"), "near-sets").dropDuplicates(["sig"])
+    sets = written(rows.join(keys.select("sig").distinct(), "sig").select("sig", F.size("shingles").alias("n"), "shingles").dropDuplicates(["sig"]), "near-sets")
+    erase(blocks)
     labels = written(keys.select("sig").distinct().withColumn("label", F.col("sig")), "labels")
     distances = spark.createDataFrame([], "y long, p long, d double")
-    level = 0
+    level, spent = 0, [keys]
     while True:
         here = keys.join(labels, "sig")
         undone = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         here = written(here.join(undone, "key"), "open")
+        erase(*spent)
         if here.isEmpty():
             break
         # A rank limit per key, which Spark applies before it shuffles.
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("sig"), "sig"))
         pivots = written(here.withColumn("rank", rank).where(F.col("rank") <= GROWTH**level).select(
-            "key", F.col("sig").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in ("n", "before", "after")]), "pivots")
-        # What two sets can have in common, seen from a key that both hold, must reach what a link of their sizes needs.
-        near = here.join(pivots, "key").where(
-            (F.col("label") != F.col("p_label")) & (F.col("sig") != F.col("p"))
-            & ((100 + percent) * (F.least("before", "p_before") + 1 + F.least("after", "p_after")) >= percent * (F.col("n") + F.col("p_n"))))
+            "key", F.col("sig").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in ("n", "before", "after", *_SKETCH)]), "pivots")
+        near = here.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("sig") != F.col("p")) & _may_link(percent))
         pairs = near.select(F.greatest("sig", "p").alias("y"), F.least("sig", "p").alias("p")).distinct()
         pairs = written(_window(pairs.join(distances, ["y", "p"], "left_anti"), distances, reach), "pairs")
         found = written(_verified(pairs, sets, percent).withColumn("d", 1 - F.col("i") / F.col("u")), "distances")
@@ -255,7 +285,8 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             "sig", F.coalesce("component", "label").alias("label")), "labels")
         distances = distances.unionByName(found.select("y", "p", "d"))
         keys = here.drop("label").join(pivots.select("key", F.col("p").alias("sig")), ["key", "sig"], "left_anti")
-        level += 1
+        level, spent = level + 1, [here, pivots, pairs]
+    erase(sets)
     return labels
 
 
@@ -277,8 +308,10 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     """doc_id, text_key, n_shingles and component_id, one row per input row."""
     docs = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     profiles = written(docs.mapInArrow(_profiles(width, percent), _PROFILE), "profiles")
-    labels = links(_near(docs, profiles, width), percent)
-    profiles = profiles.select(F.inline(F.arrays_zip("doc_id", "text_key", "n_shingles", "digest", "sig")))
+    blocks = _near(docs, profiles, width)
+    prefixes, profiles = profiles, written(profiles.select(F.inline(F.arrays_zip("doc_id", "text_key", "n_shingles", "digest", "sig"))), "members")
+    erase(prefixes)
+    labels = links(blocks, percent)
     classes = profiles.where("n_shingles > 0").groupBy("digest", "sig").agg(F.min("doc_id").alias("smallest"))
     named = written(classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "classes")
     member = named.join(named.groupBy("label").agg(F.min("smallest").alias("component")), "label").select("digest", "component")
@@ -290,8 +323,13 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (that of the smallest doc_id), and all rows without words."""
     found = join(docs, width, percent)
+    key, keep_id, keep_key, wordless, times = unused(docs.columns, "text_key", "keep_id", "keep_key", "wordless", "times")
     stays = found.where((F.col("n_shingles") == 0) | same(F.col("doc_id"), F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"), (F.col("n_shingles") == 0).alias("wordless")).distinct()
-    rows = keyed(docs).join(stays, same(F.col("doc_id"), F.col("keep_id")) & (F.col("text_key") == F.col("keep_key")))
-    with_words = rows.where("not wordless").dropDuplicates(["doc_id", "text_key"])
-    return with_words.unionByName(rows.where("wordless")).select(*docs.columns)
+    stays = stays.groupBy(F.col("doc_id").alias(keep_id), F.col("text_key").alias(keep_key)).agg(
+        F.first(F.col("n_shingles") == 0).alias(wordless), F.count(F.lit(1)).alias(times))
+    # Written, so that Spark knows its size; only rows that repeat are grouped.
+    stays = written(stays, "stays")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    rows = rows.join(stays, same(F.col("doc_id").cast("bigint"), F.col(keep_id)) & (F.col(key) == F.col(keep_key)))
+    lone = F.col(wordless) | (F.col(times) == 1)
+    return rows.where(lone).unionByName(rows.where(~lone).dropDuplicates(["doc_id", key])).select(*docs.columns)
