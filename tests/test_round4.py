@@ -3,6 +3,7 @@
 import os
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +32,31 @@ def twice(spark, tmp_path_factory):
 def test_pages_of_one_address_are_one_document(spark, twice):
     ok, note = compare(spark, connect(twice), twice, "mention_totals", plans.QUERIES["mention_totals"], plans.ORACLES["mention_totals"])
     assert ok, note
+
+
+def test_compression_ranks_licenses(monkeypatch):
+    from kgspark.llm import licenses
+
+    for name, text in licenses.TEMPLATES.items():
+        assert licenses.ranked(licenses.words("some words of a text " + text + " and of what follows"))[0][0] == name
+    own = licenses.words("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.")
+    assert [f.license for _, f in licenses.inspect(own)] == ["CC-BY-SA-4.0"]
+    # Without what compression saves, the wording of another license that fits with one word missing would be taken.
+    monkeypatch.setattr(licenses, "saving", lambda stretch, template: 0)
+    assert [f.license for _, f in licenses.inspect(own)] == ["CC-BY-4.0"]
+
+
+def test_every_round_uses_every_block(spark):
+    from kgspark.llm import language_model as lm
+
+    texts = [(i, " ".join(["red green", "blue black"][i % 2] for _ in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    blocks = docs.mapInArrow(lm._packer(1_000_000), "block long, data binary").localCheckpoint()
+    assert blocks.count() == 1
+    b = lm.unpack(bytes(blocks.collect()[0]["data"]))
+    names, counts = np.unique(b.names[b.ids], return_counts=True)
+    top = np.append(lm.END, names[np.argsort(-counts)][:4])
+    rows, kinds = lm.features(b, lm.classes_of(b, top))
+    loss = lambda w: -lm.log_softmax(w, rows)[np.arange(len(kinds)), kinds].mean()
+    one, two = lm.fit(blocks, top, 1), lm.fit(blocks, top, 2)
+    assert loss(two) < loss(one) - 1e-3 < loss(np.zeros_like(one))
