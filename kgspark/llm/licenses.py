@@ -2,12 +2,13 @@
 
 A paragraph is a candidate if it holds a word that license texts live by. Its words
 are taken in windows of bounded length that overlap by any template with its allowed
-additions, so a long paragraph is searched like a short one. In each window
-every template that can be there is confirmed by exact wording: the alignment of
-its words in order with the fewest missing and added ones. A window can have any
-number of licenses; of stretches that overlap, the better one counts. Each stretch is
+additions, so a long paragraph is searched like a short one. Each window is
 compressed with each template as a zstandard raw dictionary; how much smaller that
-makes it ranks templates that fit equally. Compression drops nothing.
+makes it gives the order in which templates are tried. All are tried: compression ranks
+and drops nothing. Exact wording confirms: the alignment of a template's words in
+order with the fewest missing and added ones. A window can have any number of
+licenses. What a confirmed stretch itself saves ranks it, and of stretches that
+overlap the one that saves most counts; differences and length part only equal savings.
 SPDX tags are read as they stand, with any identifier.
 
 Work is per row, so nothing is shuffled.
@@ -193,18 +194,24 @@ WORDINGS = [(name, text, words(text)) for name, text in [*TEMPLATES.items(), *NO
 LONGEST = 2 * max(len(w) for _, _, w in WORDINGS)
 
 
+def ranked(window: list[str]) -> list[tuple[str, str, list[str]]]:
+    """All wordings, those first whose dictionaries save most on the window."""
+    text = " ".join(window)
+    return sorted(WORDINGS, key=lambda w: -saving(text, w[1]))
+
+
 def inspect(own: list[str]) -> list[tuple[int, Finding]]:
-    """(first word, finding) of a block of words: those with the fewest differences, then the most words, first; none overlaps a better one."""
+    """(first word, finding) of a block of words: those that save most first; none overlaps a better one."""
     found = {}
     for a in range(0, max(1, len(own) - LONGEST), (SPAN - 1) * LONGEST):
         window = own[a : a + SPAN * LONGEST]
         held = set(window)
-        for name, text, template in WORDINGS:
+        for at, (name, text, template) in enumerate(ranked(window)):
             if not _possible(held, template):
                 continue
             for start, stop, missing, extra in stretches(window, template):
                 saved = saving(" ".join(window[start:stop]), text)
-                rank = (len(missing) + len(extra), len(missing) - len(template), -saved, name, a + start)
+                rank = (-saved, at, len(missing) + len(extra), len(missing) - len(template), name, a + start)
                 found[rank] = (a + stop, Finding(name, saved, len(template) - len(missing), missing, extra))
     out, taken = [], set()
     for rank in sorted(found):
