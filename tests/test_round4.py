@@ -60,3 +60,22 @@ def test_every_round_uses_every_block(spark):
     loss = lambda w: -lm.log_softmax(w, rows)[np.arange(len(kinds)), kinds].mean()
     one, two = lm.fit(blocks, top, 1), lm.fit(blocks, top, 2)
     assert loss(two) < loss(one) - 1e-3 < loss(np.zeros_like(one))
+
+
+@pytest.mark.parametrize("threshold, other", [(0.3, True), (0.3, False), (0.88, False), (0.88, True)])
+def test_nearest_vector_equals_all_pairs(spark, threshold, other):
+    from kgspark.operators import similarity_join as J
+
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(40, 8))
+    vecs = np.concatenate([base, base[:15], base + 0.1 * rnd.normal(size=base.shape)]).astype(np.float32)
+    rows = [(i, ["a b", "c/d", None][i % 20 // 9], [float(x) for x in v]) for i, v in enumerate(vecs)] + [(500, "a b", [0.0] * 8), (501, "a b", None)]
+    df = spark.createDataFrame(rows, "id long, grp string, vec array<float>").repartition(3)
+    pairs = J.cosine_pairs(df, df, threshold).collect()
+    want = {}
+    for r in pairs:
+        if not other or r.left_id != r.right_id:
+            want[r.left_id] = min(want.get(r.left_id, (1.0, 0)), (-r.score, r.right_id))
+    got = {r.left_id: (-r.score, r.right_id) for r in J.cosine_nearest(df, df, threshold, other).collect()}
+    assert got == want and want
+    assert J.cosine_nearest(df, df.filter("id < 0"), threshold).count() == 0
