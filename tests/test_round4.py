@@ -79,3 +79,16 @@ def test_nearest_vector_equals_all_pairs(spark, threshold, other):
     got = {r.left_id: (-r.score, r.right_id) for r in J.cosine_nearest(df, df, threshold, other).collect()}
     assert got == want and want
     assert J.cosine_nearest(df, df.filter("id < 0"), threshold).count() == 0
+
+
+def test_a_round_of_admission_folds_chunks(spark, monkeypatch):
+    """Steady traffic above the limit, where every start depends on the one before: rounds stay at the root of the segments."""
+    from kgspark.operators import admission as A
+
+    written = []
+    real = A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df, label: written.append(label) or real(df, label))
+    df = spark.range(1600).selectExpr("id", "'u' || id % 7 AS who", "timestamp_seconds(id * 97) AS at")
+    got = A.admit(df, "who", "at", "id", 5, 20, segment_rows=100)
+    assert got.count() == 1600 and got.filter("verdict = 'ok'").count() > 500
+    assert written.count("folded") == 1 and written.count("starts") <= 6
