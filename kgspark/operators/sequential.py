@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as X
 from kgspark.operators import resolve as R
-from kgspark.session import cut_lineage
+from kgspark.session import cut_lineage, erase
 
 #: Strength of a match in the order of the tiers; a fuzzy match is as strong as its score.
 EXACT, ALIAS = 3.0, 2.0
@@ -69,7 +69,8 @@ def leaders(names: DataFrame, matches: DataFrame) -> DataFrame:
         seen = asked.join(state.withColumnRenamed("number", "other"), "other", "left").select("number", F.when(F.col("leads").isNull(), F.lit("open")).when(F.col("leads"), "leads").otherwise("no").alias("s"))
         seen = seen.groupBy("number").agg(F.bool_or(F.col("s") == "leads").alias("joins"), F.bool_or(F.col("s") == "open").alias("waits"))
         now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("joins"), False).when(~F.col("waits"), True)
-        state = cut_lineage(state.join(seen, "number", "left").select("number", now.alias("leads")), "leaders")
+        before, state = state, cut_lineage(state.join(seen, "number", "left").select("number", now.alias("leads")), "leaders")
+        erase(before)
     return state.filter("leads").select("number")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from kgspark.session import freed_shuffles
 from kgspark.sources.shared_files import locate, read_text, write_text
 
 FORMAT = "graph-buckets"
@@ -129,7 +130,8 @@ def load(rows: DataFrame, path: str, table: str, order: Sequence[str], buckets:
     # Repeats collapse in the map tasks; a row without other columns is its own key.
     last = rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*KEYS[table], "r.*") if rest else rows.distinct()
     placed = last.withColumn("bucket", _bucket(KEYS[table][0], buckets)).repartition("bucket").sortWithinPartitions("bucket")
-    placed.write.format(FORMAT).option("path", path).option("table", table).option("buckets", buckets).mode("append").save()
+    with freed_shuffles(spark):
+        placed.write.format(FORMAT).option("path", path).option("table", table).option("buckets", buckets).mode("append").save()
 
 
 def load_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> DataFrame:

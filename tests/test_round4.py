@@ -92,3 +92,15 @@ def test_a_round_of_admission_folds_chunks(spark, monkeypatch):
     got = A.admit(df, "who", "at", "id", 5, 20, segment_rows=100)
     assert got.count() == 1600 and got.filter("verdict = 'ok'").count() > 500
     assert written.count("folded") == 1 and written.count("starts") <= 6
+
+
+def test_closure_keeps_only_its_last_tables(spark, tmp_path, monkeypatch):
+    from kgspark import session
+    from kgspark.operators import traversal as V
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    ring = spark.range(12).selectExpr("id AS from_id", "(id + 1) % 12 AS to_id")
+    got = V.closure(ring)
+    assert got.count() == 144 and got.agg(F.max("hops")).first()[0] == 12
+    assert len([d for d in os.listdir(tmp_path) if d.startswith("closure-")]) == 1
+    assert len([d for d in os.listdir(tmp_path) if d.startswith("power-")]) <= 1
