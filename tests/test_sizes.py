@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from kgspark.operators import graph as G
+from kgspark.operators import notes as N
 from kgspark.operators import resolve as R
+from kgspark.sources import tables as T
 
 
 def _nodes(plan):
@@ -48,3 +52,36 @@ def test_context_relevance_hops_meet_as_lists(spark):
     found = R.context_relevance(pairs, spark.createDataFrame(edges, "subject_uri string, predicate string, object_uri string"))
     assert sorted(r.project_uri for r in found.collect() if r.adjustment == 0.1) == [f"j{i}" for i in range(25, 50)]
     assert most_joined(found) <= 100  # 2,500 when every pair met every organization
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _bag(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_numbers_stand_for_uris(spark):
+    """Edges and links as numbers, turned into texts again, are the edges and links as texts."""
+    cols = ["subject_uri", "predicate", "object_uri", "confidence"]
+    edges = T.with_uris(spark, SF, T.relationships(spark, SF, ids=True), {"subject_uri": None, "object_uri": None})
+    assert _bag(edges.select(cols)) == _bag(T.relationships(spark, SF).select(cols))
+    links = T.document_links(spark, SF, ids=True).withColumn("document_rid", T.document_rid(F.col("document_rid")))
+    links = T.with_uris(spark, SF, links, {"entity_uri": None})
+    cols = ["document_rid", "entity_uri", "mention_count"]
+    assert _bag(links.select(cols)) == _bag(T.document_links(spark, SF).select(cols))
+
+
+def test_notes_of_one_path_and_link_are_distinct(spark):
+    """Entities named by number; two of one path share their lines, and a target that two entities share is listed once."""
+    registry = spark.createDataFrame([(1, "u1", "Ann", "Person", None), (2, "u2", "Ann", "Person", None), (3, "u3", "Org", "Organization", None)],
+                                     "id long, uri string, entity_text string, entity_type string, description string")
+    edges = spark.createDataFrame([(1, "affiliated_with", 3), (2, "affiliated_with", 3)], "subject_uri long, predicate string, object_uri long")
+    links = spark.createDataFrame([("vault:a.md", 1), ("vault:a.md", 2)], "document_rid string, entity_uri long")
+    lines = N.note_lines(registry, edges, links, spark.createDataFrame([], "document_rid string, note_path string"))
+    ann = Counter((r.section, r.line) for r in lines.filter("note_path = 'People/Ann.md' AND section IN (4, 6, 13, 14)").collect())
+    assert ann == Counter([(4, "affiliation:"), (4, '  - "[[Organizations/Org]]"'), (6, "mentionedIn:"), (6, '  - "[[a]]"'),
+                           (13, "## Relationships"), (13, ""), (13, ""), (13, "- affiliated with: [[Organizations/Org]]"),
+                           (14, "## Mentioned In"), (14, ""), (14, ""), (14, "- [[a]]")])
+    org = [r.line for r in lines.filter("note_path = 'Organizations/Org.md' AND section IN (4, 13)").collect() if "Ann" in r.line]
+    assert sorted(org) == ['  - "[[People/Ann]]"', "- affiliated with (from): [[People/Ann]]"]
