@@ -227,14 +227,15 @@ def contextual_people(spark, sf):
     person = lambda c: F.format_string("Customer#%09d", F.col(c))
     mentions = lines.groupBy("l_suppkey").agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi")).select(
         F.col("l_suppkey").alias("mention_id"), F.replace(person("lo"), F.lit("o"), F.lit("")).alias("name"), F.lit("Person").alias("entity_type"), F.array(person("hi")).alias("people"))
-    registry = T.entity_registry(spark, sf, ["Person"])
-    links = T.document_links(spark, sf, ["Person"]).withColumn("entity_type", F.lit("Person"))
-    docs = R.candidate_documents(R.context_people(mentions, registry), links, mentions.select("mention_id", "entity_type"))
+    registry = T.numbered_registry(spark, sf, ["Person"])
+    links = T.document_links(spark, sf, ["Person"], ids=True).withColumn("entity_type", F.lit("Person"))
+    people = R.context_people(mentions, registry.withColumn("uri", F.col("id")))
+    docs = R.candidate_documents(people, links, mentions.select("mention_id", "entity_type")).withColumnRenamed("uri", "id")
     stop = fixed.GLOBAL_STOPWORDS + fixed.TYPE_STOPWORDS["Person"]
-    known = registry.select("uri", F.col("entity_text").alias("candidate_name"), F.col("normalized_text").alias("candidate_norm"),
+    known = registry.select("id", "uri", F.col("entity_text").alias("candidate_name"), F.col("normalized_text").alias("candidate_norm"),
                             phonetic_code(X.significant_token(F.col("normalized_text"), stop)).alias("candidate_code"))
     norm = X.normalize_name(F.col("name"))
     asked = mentions.select("mention_id", "entity_type", norm.alias("norm"), phonetic_code(X.significant_token(norm, stop)).alias("code"))
-    cands = docs.join(known, "uri").join(asked, "mention_id").withColumn("phonetic_match", F.coalesce(F.col("code") == F.col("candidate_code"), F.lit(False)))
+    cands = docs.join(known, "id").join(asked, "mention_id").withColumn("phonetic_match", F.coalesce(F.col("code") == F.col("candidate_code"), F.lit(False)))
     scored = R.score_candidates(cands.withColumn("relevance", F.lit(None).cast("double")))
     return R.best_ten(scored).select("mention_id", "uri", "doc_count", "score", "rank")
