@@ -62,8 +62,9 @@ def wikilink_parse(spark, sf):
 SELECT doc_date, count(DISTINCT document_rid) AS documents FROM (SELECT document_rid,
 nullif(regexp_extract(document_rid, '/(\\d{4}-\\d{2}-\\d{2})[^/]*$', 1), '') AS doc_date FROM links) GROUP BY doc_date""")
 def note_path_date(spark, sf):
-    docs = T.document_links(spark, sf).select("document_rid").distinct()
-    return docs.groupBy(X.note_date(X.note_path(F.col("document_rid"))).alias("doc_date")).agg(F.count("*").alias("documents"))
+    docs = T.document_links(spark, sf, ids=True).select("document_rid.*").distinct()
+    rid = T.document_rid(F.struct("day", "key", "web"))
+    return docs.groupBy(X.note_date(X.note_path(rid)).alias("doc_date")).agg(F.count("*").alias("documents"))
 
 
 @query("search_hit_slug", M.with_(M.MEMORIES) + """

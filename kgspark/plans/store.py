@@ -89,7 +89,8 @@ SELECT 'edges' AS part, count(*) AS n FROM edges WHERE subject_uri NOT IN (SELEC
 UNION ALL SELECT 'links', count(*) FROM links WHERE entity_uri NOT IN (SELECT uri FROM gone)""")
 def cascade_delete(spark, sf):
     gone = T.table(spark, sf, "supplier").filter("s_acctbal < 0").select(T.org_uri().alias("uri"))
-    edges, links = S.cascade_delete(gone, [(T.relationships(spark, sf), ["subject_uri", "object_uri"]), (T.document_links(spark, sf), ["entity_uri"])])
+    gone = T.numbered_registry(spark, sf, ["Organization"]).join(gone, "uri", "left_semi").select(F.col("id").alias("uri"))
+    edges, links = S.cascade_delete(gone, [(T.relationships(spark, sf, ids=True), ["subject_uri", "object_uri"]), (T.document_links(spark, sf, ids=True), ["entity_uri"])])
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     return count(edges, "edges").unionByName(count(links, "links"))
 

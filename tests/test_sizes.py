@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -85,3 +86,9 @@ def test_notes_of_one_path_and_link_are_distinct(spark):
                            (14, "## Mentioned In"), (14, ""), (14, ""), (14, "- [[a]]")])
     org = [r.line for r in lines.filter("note_path = 'Organizations/Org.md' AND section IN (4, 13)").collect() if "Ann" in r.line]
     assert sorted(org) == ['  - "[[People/Ann]]"', "- affiliated with (from): [[People/Ann]]"]
+
+
+def test_rows_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(T, "DEAL_BYTES", 1000)
+    dealt = T._deal(spark, SF, "lineitem")(spark.range(10), "id")
+    assert dealt.rdd.getNumPartitions() >= os.path.getsize(f"{SF}/lineitem.parquet") // 1000
