@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import graph as G
 from kgspark.operators import notes as N
 from kgspark.operators import resolve as R
+from kgspark.plans import code as C
 from kgspark.sources import tables as T
 
 
@@ -92,3 +93,8 @@ def test_rows_are_dealt_by_size(spark, monkeypatch):
     monkeypatch.setattr(T, "DEAL_BYTES", 1000)
     dealt = T._deal(spark, SF, "lineitem")(spark.range(10), "id")
     assert dealt.rdd.getNumPartitions() >= os.path.getsize(f"{SF}/lineitem.parquet") // 1000
+
+
+def test_source_files_are_dealt_over_all_cores(spark):
+    files = C._files(spark, SF, "py")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
