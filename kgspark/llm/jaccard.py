@@ -8,7 +8,7 @@ all others. The join goes in steps that each keep every link:
    few such hashes in common with any other set are done.
 3. Of the rest, a set can only link if as many of *all* its shingles as a link
    needs (``percent``) occur in other sets. For those that are left, the rarest shingles are the keys under which
-   pivots find everything within reach.
+   pivots find everything within reach. Of keys that the same sets hold, one is used.
    Seen from a key, what comes before and after it bounds what two sets share,
    and so do bit sketches of what each set may share at all.
 4. Levels of pivots: in each key with more than one component, the sets with the
@@ -69,6 +69,12 @@ def shingle_sets(texts: list, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def named(s: np.ndarray) -> tuple[str, int]:
+    """Digest of a set, and its first half as a number."""
+    code = xxhash.xxh3_128_digest(s.tobytes())
+    return code.hex(), int.from_bytes(code[:8], "big", signed=True)
+
+
 def shared_at_least(n: int, percent: int = PERCENT) -> int:
     """Shingles that a set of n must have in common with any set it links with."""
     return -(-percent * n // 100)
@@ -101,9 +107,8 @@ def _profiles(width: int, percent: int):
 
         for part, texts in text_chunks(batches):
             for doc_id, key, text, s in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), texts, shingle_sets(texts, width)):
-                code = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 least = shared_at_least(len(s), percent)
-                row = (doc_id, key, len(s), code and code.hex(), code and int.from_bytes(code[:8], "big", signed=True), 1 + slack(least),
+                row = (doc_id, key, len(s), *(named(s) if len(s) else (None, None)), 1 + slack(least),
                        s[: len(s) - least + 1 + slack(len(s))] if len(s) else s)
                 for h, x in zip(held, row):
                     h.append(x)
@@ -138,9 +143,9 @@ def _survivors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "text_key", "digest", "sig"])
 
 
-def _sets(width: int):
+def _sets(width: int, marks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per block of sets: their names and shingles."""
+        """One row per block of the sets at marked spots: their names and shingles."""
         task, seq = TaskContext.get().partitionId(), 0
         sigs, sets, size = [], [], 0
 
@@ -148,9 +153,15 @@ def _sets(width: int):
             return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([sigs], pa.list_(pa.int64())), pa.array([sets], pa.list_(pa.list_(pa.int64())))],
                                               names=["block", "sig", "shingles"])
 
-        for part, texts in text_chunks(batches):
-            sigs += part.column("sig").to_pylist()
-            sets += shingle_sets(texts, width)
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spot = batch.column("spot").to_numpy()
+                yield batch.filter(pa.array((marks[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
+
+        for _, texts in text_chunks(chosen()):
+            found = [s for s in shingle_sets(texts, width) if len(s)]
+            sigs += [named(s)[1] for s in found]
+            sets += found
             size += sum(len(t or b"") for t in texts)
             if size >= BLOCK_BYTES:
                 yield flush()
@@ -161,6 +172,26 @@ def _sets(width: int):
     return run
 
 
+#: Bits of the marks for each chosen text, about, and of all marks at most.
+MARK_BITS, MOST_BITS = 16, 1 << 26
+#: Bits of one row of Spark's bitmap functions.
+_BITMAP = 1 << 15
+
+
+def spots(bits: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(bits))
+
+
+def marked(chosen: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each spot of the chosen texts, packed: ``bits`` / 8 bytes, whatever the number of texts."""
+    place = (spots(bits) + 1).cast("bigint")
+    rows = chosen.select(F.bitmap_bucket_number(place).alias("row"), F.bitmap_bit_position(place).alias("at"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        out[(r["row"] - 1) * (_BITMAP // 8) : r["row"] * (_BITMAP // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _total(blocks: DataFrame, column: str) -> int:
     return blocks.agg(F.sum(F.aggregate(column, F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)))).first()[0] or 0
 
@@ -172,10 +203,14 @@ def _near(docs: DataFrame, profiles: DataFrame, width: int) -> DataFrame:
     near = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors, "doc_id long, text_key long, digest string, sig long")
     # One text for each class, that of its smallest document.
     chosen = near.groupBy("digest", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("c"))
-    # Written, so that Spark knows its size: texts move only where it is too large to send.
-    chosen = written(chosen.select("sig", F.col("c.doc_id").alias("chosen_id"), F.col("c.text_key").alias("chosen_key")), "chosen")
-    texts = docs.join(chosen, same(F.col("doc_id"), F.col("chosen_id")) & (F.col("text_key") == F.col("chosen_key"))).select("sig", "text")
-    return written(texts.mapInArrow(_sets(width), "block long, sig array<long>, shingles array<array<long>>"), "sets")
+    chosen = written(chosen.select(F.col("c.doc_id").alias("doc_id"), F.col("c.text_key").alias("text_key")), "chosen")
+    # Texts do not move: tasks that read them again know the chosen ones by marks. A text that shares its spot with
+    # a chosen one comes along; it is one more set, which later filters see.
+    bits = min(MOST_BITS, max(_BITMAP, 1 << (MARK_BITS * chosen.count()).bit_length()))
+    texts = docs.select(spots(bits).cast("bigint").alias("spot"), "text")
+    sets = written(texts.mapInArrow(_sets(width, marked(chosen, bits)), "block long, sig array<long>, shingles array<array<long>>"), "sets")
+    erase(chosen)
+    return sets
 
 
 #: Words of 64 bits in a set's sketch.
@@ -225,6 +260,16 @@ def _keys(blocks: DataFrame, percent: int) -> DataFrame:
         _prefixes(percent), ", ".join(f"{c} long" for c in ("key", "sig", "n", "before", "after", *_SKETCH))).dropDuplicates(["key", "sig"])
 
 
+def _one_of_alike(keys: DataFrame) -> DataFrame:
+    """The rows of one key of all that the same sets hold, if they are more than one.
+
+    Linked sets pass ``_may_link`` at each key they share, so one key finds the
+    pairs that all of these would find.
+    """
+    holders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("sig").alias("a"), F.bit_xor(F.xxhash64("sig")).alias("b"))
+    return keys.join(holders.where("n > 1").groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def _may_link(percent: int) -> Column:
     """Whether what two sets with a key in common can share reaches what a link of their sizes needs.
 
@@ -254,7 +299,9 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(sig, label): components of the linked sets; sets without a link may be missing. ``blocks`` is a written table, used up here."""
     spark = blocks.sparkSession
     reach = 1 - percent / 100 + 1e-9
-    keys = written(_keys(blocks, percent), "keys")
+    every = written(_keys(blocks, percent), "keys")
+    keys = written(_one_of_alike(every), "few-keys")
+    erase(every)
     # Only sets with keys are compared; a repeated row of one text may give a set twice.
     rows = blocks.select(F.inline(F.arrays_zip("sig", "shingles")))
     sets = written(rows.join(keys.select("sig").distinct(), "sig").select("sig", F.size("shingles").alias("n"), "shingles").dropDuplicates(["sig"]), "near-sets")
