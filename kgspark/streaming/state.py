@@ -169,11 +169,16 @@ def resolve_stream(events: DataFrame, registry: DataFrame) -> DataFrame:
         F.when(uri.isNotNull(), "same_as").otherwise("unresolved").alias("relationship"), F.when(uri.isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 
 
+def fold_input(events: DataFrame, registry: DataFrame) -> DataFrame:
+    """What the fold looks at, and no more: contents and texts are not shuffled to the state, nor turned into Python rows there."""
+    resolved = resolve_stream(E.parse_contents(events), registry)
+    return resolved.select("rid", "source_node", "queued_at", "id", "event_type", "local_uri", "relationship", "confidence")
+
+
 def fold_cross_refs(events: DataFrame, registry: DataFrame, path: str, checkpoint: str, seconds: Optional[float] = None) -> StreamingQuery:
     """Keeps the cross-references up to date from a stream of parsed or raw queue events; writes changed keys only."""
     use_rocksdb(events.sparkSession)
-    resolved = resolve_stream(E.parse_contents(events), registry)
-    folded = resolved.groupBy("rid", "source_node").transformWithState(CrossRefFold(), CrossRefFold.SCHEMA, "Update", "None")
+    folded = fold_input(events, registry).groupBy("rid", "source_node").transformWithState(CrossRefFold(), CrossRefFold.SCHEMA, "Update", "None")
     return write_changes(folded, path, checkpoint, seconds)
 
 
