@@ -10,7 +10,8 @@ all others. The join goes in steps that each keep every link:
    needs (``percent``) occur in other sets. For those that are left, the rarest shingles are the keys under which
    pivots find everything within reach. Of keys that the same sets hold, one is used.
    Seen from a key, what comes before and after it bounds what two sets share,
-   and so do bit sketches of what each set may share at all.
+   and so do parity sketches of what each set may share at all. Sets that share
+   several keys meet in one of them.
 4. Levels of pivots: in each key with more than one component, the sets with the
    smallest random priority become pivots, eight times as many per level. Every
    other set of the key is compared with them. Sets belong to the Voronoi region
@@ -214,26 +215,27 @@ def _near(docs: DataFrame, profiles: DataFrame, width: int) -> DataFrame:
 
 
 #: Words of 64 bits in a set's sketch.
-SKETCH = 4
+SKETCH = 16
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
+#: Keys of its set before a key that its row names at most.
+EARLIER = 64
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle hash. A bit that only one of two sets has is a shingle that the other lacks."""
-    bits = np.zeros(64 * SKETCH, np.uint8)
-    bits[(shingles >> np.uint64(20)) % np.uint64(64 * SKETCH)] = 1
-    return np.packbits(bits).view(np.int64)
+    """For each bit, whether an odd number of shingle hashes fall on it. Two sets differ in a shingle at least for each bit in which their sketches do."""
+    bits = np.bincount(((shingles >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
 def _prefixes(percent: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """(key, sig, n, before, after, sketch): the rarest shared shingles of each set that can still link, as many as a link needs.
+        """(sig, n, common, sketch, keys): the rarest shared shingles of each set that can still link, as many as a link needs.
 
-        ``before`` and ``after`` count the set's shingles that may be in common with
-        another set on either side of the key; the sketch has a bit for each of them.
+        ``common`` counts the set's shingles that may be in common with another set,
+        of which the keys are the first in order; the sketch is that of all of them.
         """
         known, df = merged(right)
-        out_keys, out = [np.empty(0, np.uint64)], [np.empty((0, 4 + SKETCH), np.int64)]
+        rows, out = [np.empty((0, 3 + SKETCH), np.int64)], []
         for c in range(left.num_rows):
             keys, counts, ends = _hits(left.column("shingles")[c].values, known, df)
             for sig, a, b in zip(left.column("sig")[c].values.to_pylist(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
@@ -242,48 +244,74 @@ def _prefixes(percent: int):
                 if len(common) >= needed:
                     # Shingles of its own come first in the order; the prefix has n - needed + 1 in all.
                     order = np.lexsort((keys[a:b][common], counts[a:b][common]))
-                    mine = keys[a:b][common[order[: len(common) - needed + 1]]]
-                    place = np.arange(len(mine))
-                    out_keys.append(mine)
-                    counted = np.stack([np.full(len(mine), sig), np.full(len(mine), b - a), place, len(common) - place - 1], axis=1)
-                    out.append(np.hstack([counted, np.tile(sketch(keys[a:b][common]), (len(mine), 1))]))
-        rest = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), *(pa.array(rest[:, k]) for k in range(4 + SKETCH))],
-                                    names=["key", "sig", "n", "before", "after", *_SKETCH])
+                    out.append(keys[a:b][common[order[: len(common) - needed + 1]]].view(np.int64))
+                    rows.append(np.concatenate(([sig, b - a, len(common)], sketch(keys[a:b][common])))[None])
+        rest = np.concatenate(rows)
+        return pa.Table.from_arrays([*(pa.array(rest[:, k]) for k in range(3 + SKETCH)), pa.array(out, pa.list_(pa.int64()))],
+                                    names=["sig", "n", "common", *_SKETCH, "keys"])
 
     return run
 
 
-def _keys(blocks: DataFrame, percent: int) -> DataFrame:
+def _prefixed(blocks: DataFrame, percent: int) -> DataFrame:
+    """One row per set that can still link."""
     answers = shared_keys(blocks, "shingles", _total(blocks, "shingles"))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _prefixes(percent), ", ".join(f"{c} long" for c in ("key", "sig", "n", "before", "after", *_SKETCH))).dropDuplicates(["key", "sig"])
+        _prefixes(percent), ", ".join(f"{c} long" for c in ("sig", "n", "common", *_SKETCH)) + ", keys array<long>").dropDuplicates(["sig"])
 
 
 def _one_of_alike(keys: DataFrame) -> DataFrame:
-    """The rows of one key of all that the same sets hold, if they are more than one.
+    """The rows of one key of all that the same sets hold, if they are more than one, and how many these are.
 
     Linked sets pass ``_may_link`` at each key they share, so one key finds the
     pairs that all of these would find.
     """
-    holders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("sig").alias("a"), F.bit_xor(F.xxhash64("sig")).alias("b"))
-    return keys.join(holders.where("n > 1").groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key"), "key")
+    holders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("sig").alias("a"), F.bit_xor(F.xxhash64("sig")).alias("b"))
+    return keys.join(holders.where("size > 1").groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key", "size"), "key")
+
+
+def _keys(sets: DataFrame) -> DataFrame:
+    """(key, sig, n, common, sketch, before, earlier): a row for each key of each set.
+
+    ``before`` counts the set's shared shingles before the key. ``earlier`` names keys
+    of the set that fewer sets hold, the next ``EARLIER`` ones: sets that both
+    name one meet there, and need not meet at this key.
+    """
+    alike = _one_of_alike(sets.select("sig", F.posexplode("keys").alias("before", "key")))
+    lists = alike.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("size", "key", "before"))).alias("held"))
+    rows = lists.select("sig", "held", F.posexplode("held").alias("at", "one"))
+    first = F.greatest(F.col("at") - EARLIER, F.lit(0))
+    rows = rows.select(F.col("one.key").alias("key"), "sig", F.col("one.before").alias("before"),
+                       F.slice(F.col("held.key"), first + 1, F.col("at") - first).alias("earlier"))
+    return rows.join(sets.drop("keys"), "sig")
 
 
 def _may_link(percent: int) -> Column:
     """Whether what two sets with a key in common can share reaches what a link of their sizes needs.
 
-    A set shares at most what may be shared before and after the key, and not the
-    shingles whose bits the other lacks.
+    A set shares at most what may be shared before and after the key. What two sets
+    share is half of what is left of both without the shingles in which they
+    differ, one at least for each bit that their sketches do not agree on.
     """
-    def lacking(of: str, other: str) -> Column:
-        return sum((F.bit_count(F.col(of + c).bitwiseAND(F.bitwise_not(other + c))) for c in _SKETCH), F.lit(0))
+    def enough(twice: Column) -> Column:
+        return (100 + percent) * twice >= 2 * percent * (F.col("n") + F.col("p_n"))
 
-    def common(of: str) -> Column:
-        return F.col(of + "before") + 1 + F.col(of + "after")
+    def after(of: str) -> Column:
+        return F.col(of + "common") - F.col(of + "before") - 1
 
-    most = F.least(F.least("before", "p_before") + 1 + F.least("after", "p_after"), common("") - lacking("", "p_"), common("p_") - lacking("p_", ""))
-    return (100 + percent) * most >= percent * (F.col("n") + F.col("p_n"))
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in _SKETCH), F.lit(0))
+    return enough(2 * (F.least("before", "p_before") + 1 + F.least(after(""), after("p_")))) & enough(F.col("common") + F.col("p_common") - differing)
+
+
+def _meetings(here: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(y, p): pairs of a set and a pivot of one key that may link and are not in one component.
+
+    The first key that two sets share has no earlier one, so there they meet, as
+    soon as one of them is a pivot. Only two pivots of one key give two rows.
+    """
+    near = here.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("sig") != F.col("p")) & _may_link(percent)
+                                          & ~F.arrays_overlap("earlier", "p_earlier"))
+    return near.select(F.greatest("sig", "p").alias("y"), F.least("sig", "p").alias("p"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,8 +327,8 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(sig, label): components of the linked sets; sets without a link may be missing. ``blocks`` is a written table, used up here."""
     spark = blocks.sparkSession
     reach = 1 - percent / 100 + 1e-9
-    every = written(_keys(blocks, percent), "keys")
-    keys = written(_one_of_alike(every), "few-keys")
+    every = written(_prefixed(blocks, percent), "prefixes")
+    keys = written(_keys(every), "few-keys")
     erase(every)
     # Only sets with keys are compared; a repeated row of one text may give a set twice.
     rows = blocks.select(F.inline(F.arrays_zip("sig", "shingles")))
@@ -319,9 +347,8 @@ def links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
         # A rank limit per key, which Spark applies before it shuffles.
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("sig"), "sig"))
         pivots = written(here.withColumn("rank", rank).where(F.col("rank") <= GROWTH**level).select(
-            "key", F.col("sig").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in ("n", "before", "after", *_SKETCH)]), "pivots")
-        near = here.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("sig") != F.col("p")) & _may_link(percent))
-        pairs = near.select(F.greatest("sig", "p").alias("y"), F.least("sig", "p").alias("p")).distinct()
+            "key", F.col("sig").alias("p"), F.col("label").alias("p_label"), *[F.col(c).alias(f"p_{c}") for c in ("n", "common", "before", "earlier", *_SKETCH)]), "pivots")
+        pairs = _meetings(here, pivots, percent).distinct()
         pairs = written(_window(pairs.join(distances, ["y", "p"], "left_anti"), distances, reach), "pairs")
         found = written(_verified(pairs, sets, percent).withColumn("d", 1 - F.col("i") / F.col("u")), "distances")
         linked = found.where(100 * F.col("i") >= percent * F.col("u"))

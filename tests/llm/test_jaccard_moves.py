@@ -77,3 +77,59 @@ def test_marks(spark, rows, monkeypatch, every):
 
     monkeypatch.setattr(jaccard, "marked", given)
     assert found(spark, rows) == brute_components(rows)
+
+
+def near_copies(groups, each):
+    """Groups of texts made from one text each, with so many changes that some link and some do not."""
+    rnd = random.Random(each)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for _ in range(each):
+            copy = list(base)
+            for k in rnd.sample(range(300), rnd.randint(1, 10)):
+                copy[k] = f"x{rnd.randint(0, 10**9)}"
+            out.append((len(out), " ".join(copy)))
+    return out
+
+
+@pytest.fixture
+def meetings(monkeypatch):
+    """Rows that the join on keys makes, level by level."""
+    seen, plain = [], jaccard._meetings
+
+    def record(*args):
+        out = plain(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_meetings", record)
+    return seen
+
+
+def test_near_copies_meet_once(spark, meetings):
+    """Rows of the join on keys grow with the sets, not with the square of a group, nor with the keys that a pair shares."""
+    made = []
+    for each in (30, 120):
+        rows = near_copies(2, each)
+        assert found(spark, rows) == brute_components(rows)
+        made.append(sum(meetings))
+        meetings.clear()
+    assert made[1] <= 8 * 240 and made[1] <= 6 * made[0], made
+
+
+def test_short_lists_of_keys_lose_no_link(spark, monkeypatch):
+    rows = near_copies(2, 25) + [(900 + k, f"a b c d {k} e f g h i") for k in range(6)]
+    monkeypatch.setattr(jaccard, "EARLIER", 1)
+    assert found(spark, rows) == brute_components(rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 50, 700, 5000):
+        for changed in (0, 1, 20, 400, 3000):
+            a = np.unique(rnd.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.append(a[changed:], rnd.integers(0, 2**64, changed, np.uint64)))
+            bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+            apart = len(np.setxor1d(a, b))
+            assert bits <= apart and (apart > 100 or bits >= apart * 0.7)
