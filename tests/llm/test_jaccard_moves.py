@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from kgspark.llm import jaccard
 from tests.llm.test_llm import brute_components
 
@@ -133,3 +134,18 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
             bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
             apart = len(np.setxor1d(a, b))
             assert bits <= apart and (apart > 100 or bits >= apart * 0.7)
+
+
+def test_pipeline_stage_meets_once(spark, meetings):
+    """The pipeline's width and percent too: one row a pair, not one for each key that it shares."""
+    rows = near_copies(2, 60)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    shingles = [(i, set(zip(*(t.split()[k:] for k in range(corpus_pipeline.NEAR_WIDTH))))) for i, t in rows]
+    least = {i: i for i, _ in rows}
+    for x, (i, a) in enumerate(shingles):
+        for j, b in shingles[:x]:
+            if least[i] != least[j] and 100 * len(a & b) >= corpus_pipeline.NEAR_PERCENT * len(a | b):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
+    assert sum(meetings) <= 8 * len(rows)
