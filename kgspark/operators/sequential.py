@@ -38,22 +38,55 @@ def _stored_matches(keys: DataFrame, registry: DataFrame) -> DataFrame:
     return found.unionByName(rest.join(fuzzy, same).select("number", F.col("score").alias("strength"), "uri"))
 
 
-def _batch_matches(keys: DataFrame, surface: DataFrame) -> DataFrame:
-    """(number, other, strength): names of the batch that ``number`` would match if they were entities."""
-    # Only names without a stored match can become entities; those found by their form have no fuzzy tier.
-    leaders = keys.join(surface, "number", "left_anti")
-    known = leaders.select(F.col("number").alias("other"), F.col("norm").alias("o_norm"), F.col("kind").alias("o_kind"))
+#: Open names that are compared with each other at first, and how many times more of those that are left in each later step.
+FIRST, GROWTH = 1024, 4
+
+
+def _matches(keys: DataFrame, asking: DataFrame, names: DataFrame) -> DataFrame:
+    """(number, other, strength): which of ``names`` each key would match if they were entities; ``asking`` have a fuzzy tier."""
+    known = names.select(F.col("number").alias("other"), F.col("norm").alias("o_norm"), F.col("kind").alias("o_kind"))
     fits = F.col("entity_type").isNull() | (F.col("entity_type") == F.col("o_kind"))
     equal = keys.join(known, (F.col("norm") == F.col("o_norm")) & fits).select("number", "other", F.lit(EXACT).alias("strength"))
-    by_form = surface.filter(F.col("strength") >= ALIAS)
-    asking = cut_lineage(keys.join(by_form.select("number"), "number", "left_anti"), "asking")
-    names = leaders.select(F.col("made").alias("uri"), F.col("kind").alias("entity_type"), F.col("norm").alias("normalized_text"))
-    pairs = R.fuzzy_pairs(asking.select("norm", "alias", "entity_type"), names).select(
+    stored = names.select(F.col("made").alias("uri"), F.col("kind").alias("entity_type"), F.col("norm").alias("normalized_text"))
+    pairs = R.fuzzy_pairs(asking.select("norm", "alias", "entity_type"), stored).select(
         F.col("norm").alias("f_norm"), F.col("entity_type").alias("f_type"), F.col("candidate").alias("o_norm"), "score").filter("f_norm <> o_norm")
     near = asking.join(pairs, (F.col("norm") == F.col("f_norm")) & F.col("entity_type").eqNullSafe(F.col("f_type"))).drop("f_norm", "f_type")
     return equal.unionByName(near.join(known, "o_norm").filter(fits).select("number", "other", F.col("score").alias("strength")))
 
 
+def _decided(keys: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names of the batch that become entities, and (number, other, strength) of all keys that match one of them.
+
+    Names are taken in order, some at a time: these are compared with each
+    other, which settles them, and all others with their leaders alone. Names
+    that match a leader are settled too, so no name meets one that does not lead
+    but those taken with it.
+    """
+    # Only names without a stored match can become entities; those found by their form have no fuzzy tier.
+    left = cut_lineage(keys.join(stored, "number", "left_anti").filter("number IS NOT NULL"), "candidates")
+    asking = cut_lineage(keys.join(stored.filter(F.col("strength") >= ALIAS).select("number"), "number", "left_anti"), "asking")
+    lead, matches, size, rest = left.limit(0), None, FIRST, left.count()
+    while rest:
+        share = size / rest
+        taken, later = left, None
+        if share < 1:
+            bound = F.lit(left.approxQuantile("number", [share], share / 4)[0])
+            taken, later = cut_lineage(left.filter(F.col("number") <= bound), "taken"), left.filter(F.col("number") > bound)
+        among = cut_lineage(_matches(taken, taken, taken), "among")
+        new = cut_lineage(taken.join(leaders(taken, among), "number", "left_semi"), "lead")
+        found = cut_lineage(_matches(keys, asking, new), "matches")
+        erase(among)
+        lead, matches = lead.unionByName(new), found if matches is None else matches.unionByName(found)
+        if later is None:
+            break
+        before, left = left, cut_lineage(later.join(found.select("number"), "number", "left_anti"), "candidates")
+        erase(before, taken)
+        size, rest = size * GROWTH, left.count()
+    if matches is None:
+        matches = _matches(keys.limit(0), asking.limit(0), lead)
+    return lead, matches
+
+
 def leaders(names: DataFrame, matches: DataFrame) -> DataFrame:
     """Numbers that lead: those of ``names`` without a match (number, other) to an earlier leader.
 
@@ -83,9 +116,8 @@ def ingest_in_order(mentions: DataFrame, registry: DataFrame, links: DataFrame,
     """
     keys = cut_lineage(_keys(mentions, order), "names")
     stored = cut_lineage(_stored_matches(keys, registry), "stored")
-    matches = cut_lineage(_batch_matches(keys, stored), "matches")
-    lead = cut_lineage(leaders(keys.join(stored, "number", "left_anti"), matches), "lead")
-    made = keys.join(lead, "number").select(F.col("number").alias("other"), F.col("made").alias("uri"))
+    lead, matches = _decided(keys, stored)
+    made = lead.select(F.col("number").alias("other"), F.col("made").alias("uri"))
     # From when on a match can be seen: stored ones from the start, an entity of the batch after the mention that made it.
     seen = stored.select("number", F.lit(None).cast("bigint").alias("since"), "strength", "uri").unionByName(
         matches.join(made, "other").select("number", F.col("other").alias("since"), "strength", "uri"))
@@ -102,7 +134,7 @@ def ingest_in_order(mentions: DataFrame, registry: DataFrame, links: DataFrame,
     confidence = F.when(is_new, 0.9).otherwise(F.least("strength", F.lit(1.0)))
     done = done.select("mention_id", "name", "entity_type", F.coalesce("uri", "made").alias("uri"), F.round(confidence, 6).alias("confidence"), tier.alias("tier"), is_new.alias("is_new"))
     done = cut_lineage(done, "ingested")
-    new = keys.join(lead, "number").select(F.col("made").alias("uri"), F.col("name").alias("entity_text"), F.col("kind").alias("entity_type"), F.col("norm").alias("normalized_text"))
+    new = lead.select(F.col("made").alias("uri"), F.col("name").alias("entity_text"), F.col("kind").alias("entity_type"), F.col("norm").alias("normalized_text"))
     counted = done.select("mention_id", "uri").join(mentions.select("mention_id", "document_rid"), "mention_id").groupBy("document_rid", F.col("uri").alias("entity_uri")).agg(F.count("*").alias("mention_count"))
     after = links.select("document_rid", "entity_uri", "mention_count").unionByName(counted).groupBy("document_rid", "entity_uri").agg(F.sum("mention_count").alias("mention_count"))
     return done, new, after

@@ -18,3 +18,30 @@ def test_two_words_together_are_a_feature(spark):
     # Without the pair a third word costs log10(2), and each of the other two log10(40) at best.
     per_triple = sum(r.score for r in got) / (60 * len(got))
     assert len(got) > 20 and per_triple > -(2 * 1.602 + 0.301)
+
+
+def test_names_that_do_not_lead_are_not_compared_with_all(spark, monkeypatch):
+    """Three hundred names that are all alike: most of them meet the leaders only, and the result is the plain loop's."""
+    from kgspark.operators import sequential as Q
+    from tests.test_sequential import plain_ingest
+
+    asked = []
+    real = Q.R.fuzzy_pairs
+
+    def counted(keys, registry):
+        out = real(keys, registry)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(Q.R, "fuzzy_pairs", counted)
+    monkeypatch.setattr(Q, "FIRST", 16, raising=False)
+    monkeypatch.setattr(Q.X, "entity_uri", lambda name, kind: Q.F.concat(Q.F.lit("new:"), kind, Q.F.lit(":"), Q.X.normalize_name(name)))
+    names = [f"guild {n} of makers" for n in range(300)] + ["river keepers", "river keeper", "soil", "soils"]
+    mentions = [(f"m{i}", "d", name, "Organization", (i * 37) % 1009) for i, name in enumerate(names)]
+    df = spark.createDataFrame(mentions, "mention_id string, document_rid string, name string, entity_type string, at long").repartition(3)
+    stored = spark.createDataFrame([], "uri string, entity_text string, entity_type string, normalized_text string, aliases array<string>")
+    done, new, _ = Q.ingest_in_order(df, stored, spark.createDataFrame([], "document_rid string, entity_uri string, mention_count long"), "at")
+    want, created = plain_ingest(mentions, [])
+    assert {r.mention_id: (r.uri, r.is_new) for r in done.collect()} == want
+    assert sorted(r.uri for r in new.collect()) == sorted(created)
+    assert sum(asked) < 300 * 300 / 8
