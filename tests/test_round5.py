@@ -45,3 +45,33 @@ def test_names_that_do_not_lead_are_not_compared_with_all(spark, monkeypatch):
     assert {r.mention_id: (r.uri, r.is_new) for r in done.collect()} == want
     assert sorted(r.uri for r in new.collect()) == sorted(created)
     assert sum(asked) < 300 * 300 / 8
+
+
+def test_names_of_several_words_meet_by_words(spark):
+    """All matches of the fuzzy tier, by brute force; names that share one common word only do not meet."""
+    from kgspark import fixed
+    from kgspark.operators import resolve as R
+    from kgspark.operators import similarity_join as J
+    from tests.test_similarity import plain_jw
+
+    rnd = random.Random(7)
+    words = ["river", "rivers", "keeper", "keepers", "soil", "guild", "guilds", "of", "the", "makers"]
+    names = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(70)} | {"the the", "the  the"})
+    kinds = ["Organization", "Concept", "Practice", None]
+    keys = [(n, n, rnd.choice(kinds)) for n in names for _ in range(2)]
+    stored = [(f"u{i}", n, rnd.choice(kinds[:3]), n) for i, n in enumerate(names)]
+    limit = {t.name: (t.jw_threshold, t.token_overlap) for t in fixed.ENTITY_TYPES}
+    want = set()
+    for norm, _, kind in set(keys):
+        jw, overlap = limit.get(kind, (fixed.UNKNOWN_TYPE.jw_threshold, fixed.UNKNOWN_TYPE.token_overlap))
+        for _, _, other, name in stored:
+            a, b = norm.split(), name.split()
+            shared = len(set(a) & set(b))
+            if kind in (None, other) and plain_jw(norm, name) >= jw and (not overlap or 1 in (len(a), len(b)) or (shared >= 2 and shared >= 0.5 * min(len(set(a)), len(set(b))))):
+                want.add((norm, kind, name))
+    left = spark.createDataFrame(keys, "norm string, alias string, entity_type string").repartition(3)
+    right = spark.createDataFrame(stored, "uri string, entity_text string, entity_type string, normalized_text string").repartition(2)
+    got = R.fuzzy_pairs(left, right).collect()
+    assert len(got) == len(want) and {(r.norm, r.entity_type, r.candidate) for r in got} == want
+    lodges = spark.range(200).selectExpr("'g' AS grp", "'lodge ' || substring(sha2(cast(id AS string), 256), 1, 12) AS txt", "0.0D AS jw")
+    assert J.jaro_winkler_word_pairs(lodges, lodges.drop("jw"), 2).count() == 200
