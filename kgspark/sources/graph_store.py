@@ -11,9 +11,11 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, groupby
 from typing import Optional
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from kgspark.sources.shared_files import locate, read_text, write_text
 FORMAT = "graph-buckets"
 NODES, OUT, IN = "nodes", "out", "in"
 KEYS = {NODES: ["uri"], OUT: ["subject_uri", "predicate", "object_uri"], IN: ["object_uri", "predicate", "subject_uri"]}
+#: Rows of a bucket that are held of the stored and of the new ones at a time.
+MERGE_ROWS = 1 << 16
 
 
 @dataclass
@@ -33,8 +37,62 @@ class Written(WriterCommitMessage):
     files: dict[str, str]
 
 
+class _Sorted:
+    """Rows of one bucket that come sorted by key, some at a time."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], schema: pa.Schema, keys: Sequence[str]):
+        self.batches, self.schema, self.keys, self.more = batches, schema, keys, True
+        self.rows = schema.empty_table()
+
+    def fill(self) -> None:
+        held = [self.rows]
+        size = self.rows.num_rows
+        while self.more and size < MERGE_ROWS:
+            batch = next(self.batches, None)
+            if batch is None:
+                self.more = False
+            else:
+                held.append(pa.Table.from_batches([batch]).select(self.schema.names).cast(self.schema))
+                size += batch.num_rows
+        self.rows = pa.concat_tables(held).combine_chunks()
+
+    def last(self) -> list:
+        return [self.rows.column(k)[-1].as_py() for k in self.keys]
+
+    def take(self, cut: Optional[list]) -> pa.Table:
+        """Rows with keys up to ``cut`` (None: all that are held) leave."""
+        if cut is None:
+            taken, self.rows = self.rows, self.schema.empty_table()
+            return taken
+        upto = None
+        for key, value in zip(reversed(self.keys), reversed(cut)):
+            column = self.rows.column(key)
+            # Null comes after all values.
+            less = pc.is_valid(column) if value is None else pc.fill_null(pc.less(column, value), False)
+            same = pc.is_null(column) if value is None else pc.fill_null(pc.equal(column, value), False)
+            upto = pc.or_(less, same if upto is None else pc.and_(same, upto))
+        count = pc.sum(upto).as_py() or 0
+        taken, self.rows = self.rows.slice(0, count), self.rows.slice(count)
+        return taken
+
+
+def _merged(old: _Sorted, new: _Sorted) -> Iterator[tuple[pa.Table, bool]]:
+    """The newest row of each key in the order of keys, in parts, and whether a part differs from the old rows."""
+    while True:
+        old.fill()
+        new.fill()
+        if not old.rows.num_rows and not new.rows.num_rows:
+            return
+        # Up to the smaller of the last keys held, no row of either side is missing.
+        ends = [side.last() for side in (old, new) if side.more]
+        cut = min(ends, key=lambda end: [(v is None, v) for v in end]) if ends else None
+        before = old.take(cut)
+        rows = _newest(pa.concat_tables([before, new.take(cut)]), old.keys)
+        yield rows, not rows.equals(before)
+
+
 class BucketWriter(DataSourceArrowWriter):
-    """Each task holds whole buckets (rows come sorted by bucket) and merges one at a time with what is stored."""
+    """Each task merges whole buckets, one at a time, with what is stored (rows come sorted by bucket and key); a task holds some rows of a bucket, however many it has."""
 
     def __init__(self, options: dict):
         self.path, self.table, self.buckets = options["path"].rstrip("/"), options["table"], int(options["buckets"])
@@ -43,36 +101,38 @@ class BucketWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files: dict[str, str] = {}
-        held: list[pa.RecordBatch] = []
-        bucket: Optional[int] = None
-        for batch in iterator:
-            numbers = batch.column("bucket").to_numpy()
-            rows = batch.drop_columns(["bucket"])
-            at = 0
-            while at < len(numbers):
-                stop = int(numbers.searchsorted(numbers[at], side="right"))
-                if bucket is not None and bucket != numbers[at]:
-                    self._merge(bucket, held, files)
-                    held = []
-                bucket = int(numbers[at])
-                held.append(rows.slice(at, stop - at))
-                at = stop
-        if held:
-            self._merge(bucket, held, files)
+
+        def pieces() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in iterator:
+                numbers = batch.column("bucket").to_numpy()
+                rows = batch.drop_columns(["bucket"])
+                at = 0
+                while at < len(numbers):
+                    stop = int(numbers.searchsorted(numbers[at], side="right"))
+                    yield int(numbers[at]), rows.slice(at, stop - at)
+                    at = stop
+
+        for bucket, own in groupby(pieces(), key=lambda piece: piece[0]):
+            self._merge(bucket, (rows for _, rows in own), files)
         return Written(files)
 
-    def _merge(self, bucket: int, held: Sequence[pa.RecordBatch], files: dict[str, str]) -> None:
-        new = pa.Table.from_batches(held)
-        name = str(bucket)
-        old = _read(self.path, self.stored[name]).select(new.schema.names).cast(new.schema) if name in self.stored else new.slice(0, 0)
-        merged = _newest(pa.concat_tables([old, new]), KEYS[self.table])
-        if name in self.stored and merged.equals(_newest(old, KEYS[self.table])):
-            return
+    def _merge(self, bucket: int, batches: Iterator[pa.RecordBatch], files: dict[str, str]) -> None:
+        first = next(batches)
+        keys, name = KEYS[self.table], str(bucket)
+        new = _Sorted(chain([first], batches), first.schema, keys)
+        old = _Sorted(_batches(self.path, self.stored[name]) if name in self.stored else iter(()), first.schema, keys)
         file = f"{self.table}/{bucket:06d}-{uuid.uuid4().hex}.parquet"
         store, at = locate(f"{self.path}/{file}")
         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        pq.write_table(merged, at, filesystem=store, compression="zstd")
-        files[name] = file
+        changed = name not in self.stored
+        with pq.ParquetWriter(at, first.schema, filesystem=store, compression="zstd") as out:
+            for rows, differs in _merged(old, new):
+                out.write_table(rows)
+                changed = changed or differs
+        if changed:
+            files[name] = file
+        else:
+            store.delete_file(at)
 
     def commit(self, messages: Sequence[Optional[WriterCommitMessage]]) -> None:
         """Publishes the new files of all tasks with one rename; files of tasks that ran twice belong to nothing."""
@@ -102,9 +162,10 @@ def _manifest(path: str) -> dict:
     return json.loads(read_text(f"{path}/manifest.json") or "{}")
 
 
-def _read(path: str, file: str) -> pa.Table:
+def _batches(path: str, file: str) -> Iterator[pa.RecordBatch]:
     store, at = locate(f"{path}/{file}")
-    return pq.read_table(at, filesystem=store, partitioning=None)
+    with store.open_input_file(at) as source:
+        yield from pq.ParquetFile(source).iter_batches(batch_size=MERGE_ROWS // 4)
 
 
 def _newest(rows: pa.Table, keys: list[str]) -> pa.Table:
@@ -129,7 +190,7 @@ def load(rows: DataFrame, path: str, table: str, order: Sequence[str], buckets:
     rest = [c for c in rows.columns if c not in KEYS[table]]
     # Repeats collapse in the map tasks; a row without other columns is its own key.
     last = rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*KEYS[table], "r.*") if rest else rows.distinct()
-    placed = last.withColumn("bucket", _bucket(KEYS[table][0], buckets)).repartition("bucket").sortWithinPartitions("bucket")
+    placed = last.withColumn("bucket", _bucket(KEYS[table][0], buckets)).repartition("bucket").sortWithinPartitions("bucket", *[F.col(k).asc_nulls_last() for k in KEYS[table]])
     with freed_shuffles(spark):
         placed.write.format(FORMAT).option("path", path).option("table", table).option("buckets", buckets).mode("append").save()
 

@@ -75,3 +75,37 @@ def test_names_of_several_words_meet_by_words(spark):
     assert len(got) == len(want) and {(r.norm, r.entity_type, r.candidate) for r in got} == want
     lodges = spark.range(200).selectExpr("'g' AS grp", "'lodge ' || substring(sha2(cast(id AS string), 256), 1, 12) AS txt", "0.0D AS jw")
     assert J.jaro_winkler_word_pairs(lodges, lodges.drop("jw"), 2).count() == 200
+
+
+def test_bulk_loads_hold_some_rows_of_a_bucket(spark, tmp_path, monkeypatch):
+    """One bucket, merged a few rows at a time: the newest row of each key, in order; an equal load changes nothing."""
+    import pyarrow as pa
+
+    from kgspark.sources import graph_store as G
+
+    monkeypatch.setattr(G, "MERGE_ROWS", 7, raising=False)
+    held, real = [], G._newest
+    monkeypatch.setattr(G, "_newest", lambda rows, keys: held.append(rows.num_rows) or real(rows, keys))
+    rnd = random.Random(1)
+    schema = pa.schema([("subject_uri", pa.string()), ("predicate", pa.string()), ("object_uri", pa.string()), ("confidence", pa.float64()), ("bucket", pa.int32())])
+    place = lambda k: tuple((v is None, v or "") for v in k)
+
+    def load(rows):
+        ordered = sorted(rows, key=place)
+        cols = [[k[i] for k in ordered] for i in range(3)] + [[rows[k] for k in ordered], [0] * len(rows)]
+        whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        writer = G.BucketWriter({"path": str(tmp_path), "table": G.OUT, "buckets": "1"})
+        writer.commit([writer.write(iter([whole.slice(i, 5) for i in range(0, len(rows), 5)]))])
+
+    key = lambda: (f"s{rnd.randrange(9)}", rnd.choice(["p", "q", None]), f"o{rnd.randrange(9)}é")
+    want = {}
+    for _ in range(3):
+        rows = {key(): rnd.random() for _ in range(60)}
+        load(rows)
+        want |= rows
+    files = G._manifest(str(tmp_path))
+    load(dict(list(want.items())[:50]))
+    assert G._manifest(str(tmp_path)) == files
+    got = [tuple(r) for r in G.read_table(spark, str(tmp_path), G.OUT).coalesce(1).collect()]
+    assert got == [(*k, want[k]) for k in sorted(want, key=place)]
+    assert max(held) <= 4 * 7
