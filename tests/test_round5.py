@@ -109,3 +109,24 @@ def test_bulk_loads_hold_some_rows_of_a_bucket(spark, tmp_path, monkeypatch):
     got = [tuple(r) for r in G.read_table(spark, str(tmp_path), G.OUT).coalesce(1).collect()]
     assert got == [(*k, want[k]) for k in sorted(want, key=place)]
     assert max(held) <= 4 * 7
+
+
+def test_mentions_with_a_contextual_match_have_no_fuzzy_tier(spark, monkeypatch):
+    from kgspark.operators import contextual as CX
+
+    asked, real = [], CX.R.by_fuzzy
+
+    def counted(keys, registry):
+        asked.extend(r.norm for r in keys.collect())
+        return real(keys, registry)
+
+    monkeypatch.setattr(CX.R, "by_fuzzy", counted)
+    monkeypatch.setattr(CX, "contextual_matches", lambda mentions, *rest: mentions.filter("name = 'Jon Dow'").select(
+        "mention_id", CX.F.lit("u:9").alias("uri"), CX.F.lit(1.2).alias("score")))
+    mentions = spark.createDataFrame([("a", "Jon Dow", "Person"), ("b", "Ann Lee", "Person"), ("c", "Ann Leee", "Person"), ("d", "Zed", "Person")], "mention_id string, name string, entity_type string")
+    registry = spark.createDataFrame([("u:1", "Ann Lee", "Person", "ann lee", []), ("u:2", "Jon Dowe", "Person", "jon dowe", [])],
+                                     "uri string, entity_text string, entity_type string, normalized_text string, aliases array<string>")
+    got = {r.mention_id: (r.uri, r.confidence, r.tier, r.is_new) for r in CX.resolve_in_context(mentions, registry, None, None).collect()}
+    assert got["a"] == ("u:9", 1.0, "context", False) and got["b"] == ("u:1", 1.0, "exact", False)
+    assert got["c"][0] == "u:1" and got["c"][2] == "fuzzy" and got["d"][2:] == ("created", True)
+    assert sorted(asked) == ["ann leee", "zed"]
